@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -62,6 +61,10 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark drops the shuffle files of a query when it ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive the loss of executors."""
 
@@ -73,13 +76,16 @@ class Scratch:
     def save(self, make: Callable[[], DataFrame], label: str = "t") -> DataFrame:
         """Write the frame that `make` builds and read it back.
 
-        Nothing else holds the frame then, so Spark's cleaner may drop its shuffle files at once.
+        Nothing else holds the frame then, and its shuffle files go once it is written.
         """
         path = f"{self.root}/{self.count:03d}-{label}"
         self.count += 1
-        make().write.mode("overwrite").parquet(path)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(_DROP_SHUFFLES, "false")
+        self.spark.conf.set(_DROP_SHUFFLES, "true")
+        try:
+            make().write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_DROP_SHUFFLES, before)
         return self.spark.read.parquet(path)
 
     def drop(self) -> None:
