@@ -28,7 +28,7 @@ from panelloom.runtime import Scratch, scratch_for, ship_package
 def word_matcher(units: wn.Units) -> wn.Matcher:
     """Finds equal windows of runs that share an anchor by their words."""
 
-    def match(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, nw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def match(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, eh: np.ndarray, nw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         run, window = [], []
         lo = 0
         while lo < len(kh):
@@ -67,7 +67,7 @@ class FingerprintIndex:
         def merge() -> DataFrame:
             if not self.history:
                 return wn.compare_runs(records, first_new)
-            new = records.select("kh").distinct()
+            new = records.where(F.col("kind") == wn.RECORD).select("kh").distinct()
             old = None
             for run in self.history:
                 old = run if old is None else old.unionByName(run)
@@ -75,8 +75,7 @@ class FingerprintIndex:
 
         found = self.scratch.save(merge, "found")
         self.found.append(found)
-        fields = ["kh", "eh", "doc", "tag", "s", "nw", "off"]
-        self.history.append(found.where(F.col("kind") == wn.CLASS).select(*fields))
+        self.history.append(found.where(F.col("kind") == wn.CLASS).withColumn("kind", F.lit(wn.RECORD)))
         if len(self.history) > self.max_runs:
             self.compact()
         return found

@@ -32,14 +32,36 @@ CELLS = 1 << 19
 def suffix_matcher(window: int, anchor: int) -> wn.Matcher:
     """Finds equal windows of runs that share an anchor, through one suffix array per anchor."""
 
-    def match(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, nw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        alive = _may_match(ext, doc, kh, off, window, anchor)
+    def match(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, eh: np.ndarray, nw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # equal extents of one document are sorted once
+        head = np.ones(len(kh), bool)
+        head[1:] = (kh[1:] != kh[:-1]) | (eh[1:] != eh[:-1])
+        at = np.flatnonzero(head)
+        run, where = distinct([ext[i] for i in at], doc[at], kh[at], nw[at], off[at])
+        copies = np.diff(np.append(at, len(kh)))[run]
+        first = np.repeat(at[run], copies)
+        nth = np.arange(len(first)) - np.repeat(np.cumsum(copies) - copies, copies)
+        return first + nth, np.repeat(where, copies)
+
+    def distinct(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, nw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new = np.ones(len(kh), bool)
         new[1:] = kh[1:] != kh[:-1]
         group = np.cumsum(new) - 1
-        group, picked = group[alive], np.flatnonzero(alive)
+        left, right = _reach(ext, group, off, window, anchor)
+        alive = left + right >= window - anchor
+        low = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+        high = np.full(group[-1] + 1, np.iinfo(np.int64).min)
+        np.minimum.at(low, group[alive], doc[alive])
+        np.maximum.at(high, group[alive], doc[alive])
+        alive &= (low < high)[group]
+        picked = np.flatnonzero(alive)
+        group = group[alive]
         if not len(picked):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # what lies beyond the reach of all others is in no common window
+        begin = off - left
+        ext = [x[a:b] for x, a, b in zip(ext, begin.tolist(), (off + anchor + right).tolist(), strict=True)]
+        nw = left + right + anchor - window + 1
         cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         bounds = np.append(cut, len(group))
         lengths = np.array([len(x) + 1 for x in ext])
@@ -65,27 +87,37 @@ def suffix_matcher(window: int, anchor: int) -> wn.Matcher:
             text, whose, at = (np.stack(x) for x in zip(*laid, strict=True))
             hits.append(_equal_neighbours(suffix_arrays(text), text, whose, at, nw, doc, window))
             i = j
-        return tuple(np.concatenate(x) for x in zip(*hits, strict=True))
+        run, where = (np.concatenate(x) for x in zip(*hits, strict=True))
+        return run, where + begin[run]
 
     return match
 
 
-def _may_match(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, off: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """A window has window - anchor units beside the anchor, so half of them, rounded up, lie left or right of it:
-    a run whose neighbourhood on either side is its own matches nothing."""
-    half = (window - anchor + 1) // 2
-    alive = np.zeros(len(ext), bool)
-    for left in (True, False):
-        seen: dict[tuple, int] = {}
-        keys = []
-        for i, (x, o, k) in enumerate(zip(ext, off.tolist(), kh.tolist(), strict=True)):
-            side = x[o - half : o] if left and o >= half else x[o + anchor : o + anchor + half] if not left else b""
-            key = (k, side) if len(side) == half else None
-            keys.append(key)
-            if key is not None:
-                seen[key] = i if key not in seen else -1 if doc[seen[key]] != doc[i] or seen[key] == -1 else seen[key]
-        alive |= np.array([key is not None and seen[key] == -1 for key in keys], bool)
-    return alive
+def _reach(ext: list[bytes], group: np.ndarray, off: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far, left and right of the anchor, a run agrees at most with another one of its group.
+
+    In the order of the sides' bytes the most similar one is a neighbour.
+    """
+    side = window - anchor
+    width = -(-side // 8) * 8
+    out = []
+    for is_left in (True, False):
+        if is_left:
+            parts = [x[:o][::-1] for x, o in zip(ext, off.tolist(), strict=True)]
+        else:
+            parts = [x[o + anchor :] for x, o in zip(ext, off.tolist(), strict=True)]
+        length = np.array([len(x) for x in parts])
+        bytes_ = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in parts]), np.uint8).reshape(-1, width)
+        keys = bytes_.view(">u8").astype(np.uint64)
+        order = np.lexsort((*keys.T[::-1], group))
+        equal = bytes_[order[1:]] == bytes_[order[:-1]]
+        common = np.where(equal.all(axis=1), width, equal.argmin(axis=1))
+        common[group[order[1:]] != group[order[:-1]]] = 0
+        reach = np.zeros(len(ext), np.int64)
+        reach[order[1:]] = common
+        reach[order[:-1]] = np.maximum(reach[order[:-1]], common)
+        out.append(np.minimum(reach, length))
+    return out[0], out[1]
 
 
 def _laid_out(ext: list[bytes], rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -29,8 +29,10 @@ from panelloom.llm import textcore as tc
 
 RUN_SCHEMA = "kh long, eh long, doc long, tag int, s int, nw int, off int"
 FOUND_SCHEMA = RUN_SCHEMA + ", kind int"
-#: Kinds of rows that the comparison of runs yields.
-COVERED, REQUEST, CLASS = 0, 1, 2
+FIELDS = ["kh", "eh", "doc", "tag", "s", "nw", "off", "kind"]
+#: Kinds of rows. Runs are RECORD, or COVERED where a smaller document of the same slice has the extent already; the
+#: comparison of runs yields the other kinds.
+COVERED, REQUEST, CLASS, RECORD = 0, 1, 2, 3
 #: Windows of one text handled at once.
 SEGMENT = 1 << 21
 
@@ -69,6 +71,7 @@ def runs(docs: DataFrame, units: Units) -> DataFrame:
             raw, off = tc.string_buffers(batch.column(2))
             for lo, hi in tc.row_slices(off):
                 codes, bounds = units.codes(raw, off[lo : hi + 1])
+                parts = []
                 for at in range(0, max(0, len(codes) - units.window + 1), SEGMENT):
                     part = codes[at : at + SEGMENT + units.window - 1]
                     prefix = tc.prefix_hash(part)
@@ -83,23 +86,41 @@ def runs(docs: DataFrame, units: Units) -> DataFrame:
                     first = np.flatnonzero(cut)
                     last = np.append(first[1:], len(anchor))
                     first, last = first[inside[first]], last[inside[first]]
-                    if not len(first):
-                        continue
                     whose = row[first]
+                    extent = tc.piece_hash(prefix, first, last - 1 + units.window, seed=1)
+                    parts.append((grams[anchor[first]], extent, lo + whose, first + at - bounds[whose], last - first, anchor[first] - first))
+                if not parts:
+                    continue
+                kh, eh, row, s, nw, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if len(kh):
+                    doc = ids[row]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(grams[anchor[first]].view(np.int64)),
-                            pa.array(tc.piece_hash(prefix, first, last - 1 + units.window, seed=1).view(np.int64)),
-                            pa.array(ids[lo + whose]),
-                            pa.array(tags[lo + whose]),
-                            pa.array((first + at - bounds[whose]).astype(np.int32)),
-                            pa.array((last - first).astype(np.int32)),
-                            pa.array((anchor[first] - first).astype(np.int32)),
+                            pa.array(kh.view(np.int64)),
+                            pa.array(eh.view(np.int64)),
+                            pa.array(doc),
+                            pa.array(tags[row]),
+                            pa.array(s.astype(np.int32)),
+                            pa.array(nw.astype(np.int32)),
+                            pa.array(o.astype(np.int32)),
+                            pa.array(np.where(_covered_here(kh, eh, doc), COVERED, RECORD).astype(np.int32)),
                         ],
-                        names=["kh", "eh", "doc", "tag", "s", "nw", "off"],
+                        names=FIELDS,
                     )
 
-    return docs.where("doc is not null and text is not null").mapInArrow(scan, RUN_SCHEMA)
+    return docs.where("doc is not null and text is not null").mapInArrow(scan, FOUND_SCHEMA)
+
+
+def _covered_here(kh: np.ndarray, eh: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Runs whose extent a smaller document among these has: what very many texts share is not shuffled by its hash."""
+    order = np.lexsort((doc, eh, kh))
+    kh, eh = kh[order], eh[order]
+    new = np.ones(len(kh), bool)
+    new[1:] = (kh[1:] != kh[:-1]) | (eh[1:] != eh[:-1])
+    least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = np.empty(len(kh), bool)
+    out[order] = doc[order] > least
+    return out
 
 
 def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
@@ -110,11 +131,14 @@ def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kh", "eh", "doc", "tag", "s", "nw", "off"]
         last = None  # (kh, eh, least doc of that extent)
         several = False  # whether the current anchor has shown a second extent
         held: list[pa.RecordBatch] = []  # runs of the current anchor's first extent and least document
         for batch in batches:
+            passed = batch.column(7).to_numpy() == COVERED
+            if passed.any():
+                yield _with_kind(batch, passed, COVERED)
+                batch = batch.filter(pa.array(~passed))
             if not batch.num_rows:
                 continue
             kh, eh, doc = (batch.column(i).to_numpy() for i in range(3))
@@ -153,23 +177,22 @@ def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
                 kinds.append((head, CLASS))
             for mask, kind in kinds:
                 if mask.any():
-                    yield _with_kind(batch, mask, kind, names)
+                    yield _with_kind(batch, mask, kind)
             if tail.any() and not several:
-                held.append(_with_kind(batch, tail, REQUEST, names))
+                held.append(_with_kind(batch, tail, REQUEST))
             last = (kh[-1], eh[-1], least[-1])
 
-    return (
-        records.repartition("kh")
-        .sortWithinPartitions("kh", "eh", "doc", "tag", "s")
-        .select("kh", "eh", "doc", "tag", "s", "nw", "off")
-        .mapInArrow(scan, FOUND_SCHEMA)
-    )
+    route = F.when(F.col("kind") == COVERED, F.xxhash64("doc", "s")).otherwise(F.col("kh"))
+    dealt = records.select(*FIELDS).repartition(route).sortWithinPartitions("kh", "eh", "doc", "tag", "s")
+    return dealt.mapInArrow(scan, FOUND_SCHEMA)
 
 
-def _with_kind(batch: pa.RecordBatch, mask: np.ndarray, kind: int, names: list[str]) -> pa.RecordBatch:
+def _with_kind(batch: pa.RecordBatch, mask: np.ndarray, kind: int) -> pa.RecordBatch:
     part = batch.filter(pa.array(mask))
-    columns = [*part.columns, pa.array(np.full(part.num_rows, kind, np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=[*names, "kind"])
+    hashes = part.columns[:2]
+    if kind == COVERED:  # nothing asks for them any more
+        hashes = [pa.array(np.zeros(part.num_rows, np.int64))] * 2
+    return pa.RecordBatch.from_arrays([*hashes, *part.columns[2:7], pa.array(np.full(part.num_rows, kind, np.int32))], names=FIELDS)
 
 
 def extents(docs: DataFrame, requests: DataFrame, units: Units) -> DataFrame:
@@ -216,9 +239,9 @@ def extents(docs: DataFrame, requests: DataFrame, units: Units) -> DataFrame:
     return joined.mapInArrow(cut, RUN_SCHEMA + ", ext binary")
 
 
-#: Compares the windows of runs with one anchor. Gets (ext, doc) per run and the bounds of the anchors' groups; yields
-#: the runs and window numbers within them that a smaller document has as well.
-Matcher = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Compares the windows of runs with one anchor. Gets extents, doc, kh, eh, nw and off of runs sorted by kh and eh; yields
+#: the runs and the window numbers within them that a smaller document has as well.
+Matcher = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def matched_windows(found: DataFrame, matcher: Matcher, units: Units, most: int = 1024) -> DataFrame:
@@ -277,7 +300,7 @@ def content_windows(ext: bytes, units: Units, n: int) -> Iterator[bytes]:
 
 def _block(table: pa.Table, matcher: Matcher, units: Units) -> Iterator[pa.RecordBatch]:
     kh, eh, doc, nw, off = (table.column(c).to_numpy() for c in ("kh", "eh", "doc", "nw", "off"))
-    run, window = matcher(table.column("ext").to_pylist(), doc, kh, nw, off)
+    run, window = matcher(table.column("ext").to_pylist(), doc, kh, eh, nw, off)
     if len(run):
         start = table.column("s").to_numpy()[run] + window
         yield pa.RecordBatch.from_arrays(
