@@ -10,6 +10,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.language_mix import identify
+
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.substring_dedup import remove_repeated_words
 
@@ -17,6 +35,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.string_tiling import contaminated, worst_items
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return worst_items(found).select("doc_id", F.lit(True).alias("contaminated"), "item_id", "coverage", "n_tiles", "n_items")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.suffix_dedup import remove_repeated_bytes
 
@@ -24,9 +49,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {}
