@@ -35,6 +35,26 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.page_text import extract
+
+    out = extract(table(spark, sf_dir, "pages"), keep=("url",))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.importance import resample
+
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("kept", F.lit(True))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.license_rules import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.string_tiling import contaminated, worst_items
 
@@ -42,6 +62,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return worst_items(found).select("doc_id", F.lit(True).alias("contaminated"), "item_id", "coverage", "n_tiles", "n_items")
 
 
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.line_rules import clean_lines
+
+    out = clean_lines(table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select("doc_id", *counts, "base_failed", "kept", "n_lines", "n_lines_removed", "n_chars_lost")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.suffix_dedup import remove_repeated_bytes
 
@@ -60,7 +88,11 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_quality_resampling": op6_quality_resampling,
+    "op7_license_scan": op7_license_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_line_rules": op9_line_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": pipeline,
 }
