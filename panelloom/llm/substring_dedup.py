@@ -67,7 +67,7 @@ class FingerprintIndex:
         def merge() -> DataFrame:
             if not self.history:
                 return wn.compare_runs(records, first_new)
-            new = records.where(F.col("kind") == wn.RECORD).select("kh").distinct()
+            new = records.where(wn.kind() == wn.RECORD).select("kh").distinct()
             old = None
             for run in self.history:
                 old = run if old is None else old.unionByName(run)
@@ -75,7 +75,7 @@ class FingerprintIndex:
 
         found = self.scratch.save(merge, "found")
         self.found.append(found)
-        self.history.append(found.where(F.col("kind") == wn.CLASS).withColumn("kind", F.lit(wn.RECORD)))
+        self.history.append(found.where(wn.kind() == wn.CLASS).withColumn("mark", F.col("mark") + (wn.RECORD - wn.CLASS)))
         if len(self.history) > self.max_runs:
             self.compact()
         return found
@@ -120,7 +120,7 @@ def remove_repeated_words(
     found = index.found[0]
     for more in index.found[1:]:
         found = found.unionByName(more)
-    asked = found.where(F.col("kind") == wn.REQUEST).select("kh", "eh", "doc", "tag", "s", "nw", "off").distinct()
+    asked = found.where(wn.kind() == wn.REQUEST).distinct()
     fetched = scratch.save(lambda: wn.extents(docs, asked, units), "extents")
     spans = scratch.save(lambda: wn.matched_windows(fetched, word_matcher(units), units), "spans")
     both = wn.covered_spans(found, units).unionByName(spans)

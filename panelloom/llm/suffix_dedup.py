@@ -154,7 +154,7 @@ def _equal_neighbours(sa: np.ndarray, text: np.ndarray, whose: np.ndarray, at: n
     return who[hit], where[hit]
 
 
-def remove_repeated_bytes(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, anchor: int = 22) -> DataFrame:
+def remove_repeated_bytes(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, anchor: int = 18) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept): each byte goes that a `window`-byte string covers which also starts in a
     row of smaller id. spans: the maximal removed runs as [start, end); kept: the bytes that stay."""
     spark = frame.sparkSession
@@ -163,7 +163,7 @@ def remove_repeated_bytes(frame: DataFrame, id_col: str = "doc_id", text_col: st
     scratch = scratch_for(spark, "suffixdedup")
     docs = wn.usable(frame, id_col, text_col)
     found = scratch.save(lambda: wn.compare_runs(wn.runs(docs, units)), "runs")
-    asked = found.where(F.col("kind") == wn.REQUEST)
+    asked = found.where(wn.kind() == wn.REQUEST)
     fetched = scratch.save(lambda: wn.extents(docs, asked, units), "extents")
     spans = scratch.save(lambda: wn.matched_windows(fetched, suffix_matcher(window, anchor), units), "spans")
     both = wn.covered_spans(found, units).unionByName(spans)

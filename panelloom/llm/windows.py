@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from panelloom.llm import textcore as tc
 
-RUN_SCHEMA = "kh long, eh long, doc long, tag int, s int, nw int, off int"
-FOUND_SCHEMA = RUN_SCHEMA + ", kind int"
-FIELDS = ["kh", "eh", "doc", "tag", "s", "nw", "off", "kind"]
+#: kh, eh: hashes of anchor and extent. place: first window, number of windows and the anchor's place in the extent, in
+#: one number; mark: tag and kind. Rows are many, so they are kept narrow; `unpacked` has the parts.
+RUN_SCHEMA = "kh long, eh long, doc long, place long, mark long"
+FIELDS = ["kh", "eh", "doc", "place", "mark"]
 #: Kinds of rows. Runs are RECORD, or COVERED where a smaller document of the same slice has the extent already; the
 #: comparison of runs yields the other kinds.
 COVERED, REQUEST, CLASS, RECORD = 0, 1, 2, 3
@@ -53,6 +54,24 @@ class Units:
         return tc.word_hashes(raw, int(offsets[0]), int(offsets[-1]), starts, ends), first
 
 
+def kind() -> Column:
+    return F.col("mark").bitwiseAND(F.lit(3).cast("long"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """Runs with tag, s, nw and off as columns of their own."""
+    low = F.lit(4095).cast("long")
+    return rows.select(
+        "kh",
+        "eh",
+        "doc",
+        F.shiftright("mark", 2).cast("int").alias("tag"),
+        F.shiftright("place", 24).cast("int").alias("s"),
+        F.shiftright("place", 12).bitwiseAND(low).cast("int").alias("nw"),
+        F.col("place").bitwiseAND(low).cast("int").alias("off"),
+    )
+
+
 def usable(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tag, text). tag tells rows of one id with different texts apart; it is 0 where ids are unique."""
     own = frame.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -99,16 +118,13 @@ def runs(docs: DataFrame, units: Units) -> DataFrame:
                             pa.array(kh.view(np.int64)),
                             pa.array(eh.view(np.int64)),
                             pa.array(doc),
-                            pa.array(tags[row]),
-                            pa.array(s.astype(np.int32)),
-                            pa.array(nw.astype(np.int32)),
-                            pa.array(o.astype(np.int32)),
-                            pa.array(np.where(_covered_here(kh, eh, doc), COVERED, RECORD).astype(np.int32)),
+                            pa.array((s << 24) | (nw << 12) | o),
+                            pa.array(tags[row].astype(np.int64) * 4 + np.where(_covered_here(kh, eh, doc), COVERED, RECORD)),
                         ],
                         names=FIELDS,
                     )
 
-    return docs.where("doc is not null and text is not null").mapInArrow(scan, FOUND_SCHEMA)
+    return docs.where("doc is not null and text is not null").mapInArrow(scan, RUN_SCHEMA)
 
 
 def _covered_here(kh: np.ndarray, eh: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -135,7 +151,7 @@ def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
         several = False  # whether the current anchor has shown a second extent
         held: list[pa.RecordBatch] = []  # runs of the current anchor's first extent and least document
         for batch in batches:
-            passed = batch.column(7).to_numpy() == COVERED
+            passed = batch.column(4).to_numpy() & 3 == COVERED
             if passed.any():
                 yield _with_kind(batch, passed, COVERED)
                 batch = batch.filter(pa.array(~passed))
@@ -182,9 +198,9 @@ def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
                 held.append(_with_kind(batch, tail, REQUEST))
             last = (kh[-1], eh[-1], least[-1])
 
-    route = F.when(F.col("kind") == COVERED, F.xxhash64("doc", "s")).otherwise(F.col("kh"))
-    dealt = records.select(*FIELDS).repartition(route).sortWithinPartitions("kh", "eh", "doc", "tag", "s")
-    return dealt.mapInArrow(scan, FOUND_SCHEMA)
+    route = F.when(kind() == COVERED, F.xxhash64("doc", "place")).otherwise(F.col("kh"))
+    dealt = records.select(*FIELDS).repartition(route).sortWithinPartitions("kh", "eh", "doc", "mark", "place")
+    return dealt.mapInArrow(scan, RUN_SCHEMA)
 
 
 def _with_kind(batch: pa.RecordBatch, mask: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -192,12 +208,13 @@ def _with_kind(batch: pa.RecordBatch, mask: np.ndarray, kind: int) -> pa.RecordB
     hashes = part.columns[:2]
     if kind == COVERED:  # nothing asks for them any more
         hashes = [pa.array(np.zeros(part.num_rows, np.int64))] * 2
-    return pa.RecordBatch.from_arrays([*hashes, *part.columns[2:7], pa.array(np.full(part.num_rows, kind, np.int32))], names=FIELDS)
+    mark = (part.column(4).to_numpy() & ~3) | kind
+    return pa.RecordBatch.from_arrays([*hashes, *part.columns[2:4], pa.array(mark)], names=FIELDS)
 
 
 def extents(docs: DataFrame, requests: DataFrame, units: Units) -> DataFrame:
     """Requests with the units of their extents: bytes as they are, words joined by one space."""
-    wanted = requests.groupBy("doc", "tag").agg(F.collect_list(F.struct("kh", "eh", "s", "nw", "off")).alias("asked"))
+    wanted = unpacked(requests).groupBy("doc", "tag").agg(F.collect_list(F.struct("kh", "eh", "s", "nw", "off")).alias("asked"))
     joined = docs.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +253,7 @@ def extents(docs: DataFrame, requests: DataFrame, units: Units) -> DataFrame:
                     names=["kh", "eh", "doc", "tag", "s", "nw", "off", "ext"],
                 )
 
-    return joined.mapInArrow(cut, RUN_SCHEMA + ", ext binary")
+    return joined.mapInArrow(cut, "kh long, eh long, doc long, tag int, s int, nw int, off int, ext binary")
 
 
 #: Compares the windows of runs with one anchor. Gets extents, doc, kh, eh, nw and off of runs sorted by kh and eh; yields
@@ -244,7 +261,7 @@ def extents(docs: DataFrame, requests: DataFrame, units: Units) -> DataFrame:
 Matcher = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def matched_windows(found: DataFrame, matcher: Matcher, units: Units, most: int = 1024) -> DataFrame:
+def matched_windows(found: DataFrame, matcher: Matcher, units: Units, most: int = 1 << 14) -> DataFrame:
     """(doc, tag, s, e): windows of the fetched runs that also start in a smaller document.
 
     Groups of up to `most` runs per anchor go to `matcher` whole. Beyond, each window becomes a row and is compared
@@ -316,7 +333,7 @@ def _block(table: pa.Table, matcher: Matcher, units: Units) -> Iterator[pa.Recor
 
 def covered_spans(found: DataFrame, units: Units) -> DataFrame:
     """(doc, tag, s, e) of the runs that are covered outright."""
-    return found.where(F.col("kind") == COVERED).select("doc", "tag", "s", (F.col("s") + F.col("nw") - 1 + units.window).alias("e"))
+    return unpacked(found.where(kind() == COVERED)).select("doc", "tag", "s", (F.col("s") + F.col("nw") - 1 + units.window).alias("e"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
