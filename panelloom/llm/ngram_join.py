@@ -6,12 +6,13 @@
    similarity share an n-gram among the first (1 - t) * size + 1 of each, so a class enters one tile for each of these:
    passages that many texts share come last in the order and make no tiles.
 3. Within a tile, classes are sorted by size; only pairs whose sizes allow the similarity are looked at, and of those
-   only pairs whose 512-bit signatures leave it possible: every bit that differs is an n-gram in one set only, so the
+   only pairs whose bitmap signatures leave it possible: every bit that differs is an n-gram in one set only, so the
    bit count bounds the overlap from above.
 4. What remains is decided by intersecting the sorted hash arrays.
 
-Tiles first yield a spanning forest of their possible links, not all pairs; what these links connect needs no further
-look. A second pass over the tiles tests every possible pair whose ends are still in different components. Tiles of more
+Tiles first yield a spanning forest of their possible links, of the highest bounds, not all pairs; what these links
+connect needs no further look. A second pass over the tiles that still hold several components tests every pair of
+different components that a longer signature leaves possible. Tiles of more
 than `TILE` classes are dealt out in blocks: first within blocks, then over one class per component, last over pairs
 of blocks. So no link between components is lost, and a group of copies costs a number of tests in proportion to it.
 """
@@ -30,7 +31,8 @@ from panelloom.llm.components import components
 from panelloom.runtime import Scratch, scratch_for, ship_package
 
 SKETCH_BITS = 16
-SIGNATURE_WORDS = 8
+#: 64-bit words of a signature, and of its folded form for the first pass.
+SIGNATURE_WORDS, FOLDED = 32, 8
 TILE = 4096
 
 
@@ -183,6 +185,28 @@ def _possible(n_i: np.ndarray, n_j: np.ndarray, s_i: np.ndarray, s_j: np.ndarray
     return (bound * (den + num) >= num * both) & (np.minimum(n_i, n_j) * den >= num * np.maximum(n_i, n_j))
 
 
+def _forest(node: np.ndarray, size: np.ndarray, sig: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[list, list]:
+    """Edges of a spanning forest of the possible links of a tile, greatest bound on the similarity first (Prim)."""
+    a, b = [], []
+    left = np.arange(len(node))
+    best, parent = np.full(len(node), -1.0), np.zeros(len(node), np.int64)
+    while len(left):
+        k = int(np.argmax(best[left]))
+        i = left[k]
+        if best[i] >= 0 and comp[parent[i]] != comp[i]:
+            a.append(node[parent[i]])
+            b.append(node[i])
+        left = np.delete(left, k)
+        both = size[i] + size[left]
+        bound = (both - np.bitwise_count(sig[i] ^ sig[left]).sum(axis=-1, dtype=np.int64)) // 2
+        possible = (bound * (den + num) >= num * both) & (np.minimum(size[i], size[left]) * den >= num * np.maximum(size[i], size[left]))
+        value = np.where(possible, bound / np.maximum(both - bound, 1) + (comp[left] == comp[i]), -1.0)
+        closer = value > best[left]
+        best[left[closer]] = value[closer]
+        parent[left[closer]] = i
+    return a, b
+
+
 def _candidates(tiles: DataFrame, keys: list[str], num: int, den: int, every: bool) -> DataFrame:
     """Distinct (a, b) from tiles of (keys, side, node, n, sig, comp). every: all possible pairs of different
     components, else a forest. side: pairs are wanted of rows with different bits 1 and 2 only (3: either)."""
@@ -190,7 +214,7 @@ def _candidates(tiles: DataFrame, keys: list[str], num: int, den: int, every: bo
     def work(table: pa.Table) -> tuple[list, list]:
         node, size, comp, side = (table.column(c).to_numpy() for c in ("node", "n", "comp", "side"))
         size = size.astype(np.int64)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(node), -1)
         key = [table.column(k).to_numpy() for k in keys]
         new = np.ones(len(node), bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
@@ -204,27 +228,19 @@ def _candidates(tiles: DataFrame, keys: list[str], num: int, den: int, every: bo
         for lo, hi in zip(at[:-1][length > 2].tolist(), at[1:][length > 2].tolist(), strict=True):
             if (comp[lo:hi] == comp[lo]).all():
                 continue
-            rows = lo + np.argsort(size[lo:hi], kind="stable")
-            if every:
-                for k, i in enumerate(rows[:-1]):
-                    reach = np.searchsorted(size[rows], size[i] * den // num, side="right")
-                    j = rows[k + 1 : reach]
-                    j = j[(comp[j] != comp[i]) & ((side[j] | side[i]) == 3)]
-                    j = j[_possible(size[i], size[j], sig[i], sig[j], num, den)]
-                    a.append(np.full(len(j), node[i]))
-                    b.append(node[j])
+            if not every:
+                x, y = _forest(node[lo:hi], size[lo:hi], sig[lo:hi], comp[lo:hi], num, den)
+                a.append(np.array(x, np.int64))
+                b.append(np.array(y, np.int64))
                 continue
-            left, queue = rows, []
-            while len(left):
-                if not queue:
-                    queue, left = [left[0]], left[1:]
-                i = queue.pop()
-                hit = _possible(size[i], size[left], sig[i], sig[left], num, den)
-                fresh = hit & (comp[left] != comp[i])
-                a.append(np.full(int(fresh.sum()), node[i]))
-                b.append(node[left[fresh]])
-                queue += left[hit].tolist()
-                left = left[~hit]
+            rows = lo + np.argsort(size[lo:hi], kind="stable")
+            for k, i in enumerate(rows[:-1]):
+                reach = np.searchsorted(size[rows], size[i] * den // num, side="right")
+                j = rows[k + 1 : reach]
+                j = j[(comp[j] != comp[i]) & ((side[j] | side[i]) == 3)]
+                j = j[_possible(size[i], size[j], sig[i], sig[j], num, den)]
+                a.append(np.full(len(j), node[i]))
+                b.append(node[j])
         return a, b
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +314,8 @@ def near_duplicates(
     profile = scratch.save(lambda: _profile(docs, n, lower), "profile")
     sizes = profile.where("node is not null")
     order = _frequencies(profile)
-    tiles = scratch.save(lambda: _tiles(docs, n, lower, num, den, order).join(sizes.select("node", "sig").distinct(), "node"), "tiles")
+    tiles = scratch.save(lambda: _tiles(docs, n, lower, num, den, order), "tiles")
+    signatures = sizes.select("node", "sig").distinct()
     # blocks of the few tiles that are too large for one task
     large = tiles.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > TILE)
     rank = F.row_number().over(Window.partitionBy("token").orderBy("n", "node"))
@@ -309,7 +326,7 @@ def near_duplicates(
     dealt = plain(small.withColumn("block", F.lit(0)))
     if has_large:
         dealt = dealt.unionByName(plain(blocked.drop("m", "blocks")))
-    first = scratch.save(lambda: _candidates(dealt, ["token", "block"], num, den, every=False), "forest")
+    first = scratch.save(lambda: _candidates(_signed(dealt, signatures, True), ["token", "block"], num, den, every=False), "forest")
     tested = first
     edges = scratch.save(lambda: _verified(first, docs, scratch, n, lower, num, den), "linked")
     if repeated:
@@ -319,7 +336,7 @@ def near_duplicates(
         comp = scratch.save(lambda: components(edges, scratch), "comp")
         one = F.row_number().over(Window.partitionBy("token", "comp").orderBy("node"))
         reps = _with_component(blocked, comp).withColumn("k", one).where("k = 1").drop("k", "m", "blocks", "block").withColumn("side", F.lit(3))
-        again = scratch.save(lambda: _candidates(reps, ["token"], num, den, every=False).join(tested, ["a", "b"], "left_anti"), "forest2")
+        again = scratch.save(lambda: _candidates(_signed(reps, signatures, True), ["token"], num, den, every=False).join(tested, ["a", "b"], "left_anti"), "forest2")
         more = scratch.save(lambda: _verified(again, docs, scratch, n, lower, num, den), "linked2")
         edges, tested = edges.unionByName(more), tested.unionByName(again)
     comp = scratch.save(lambda: components(edges, scratch), "comp")
@@ -331,7 +348,7 @@ def near_duplicates(
         pairs = pairs.withColumn("side", side).withColumn("pi", F.least("block", "other")).withColumn("pj", F.greatest("block", "other"))
         rest = rest.unionByName(pairs.drop("m", "blocks", "block", "other"))
     mixed = rest.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    final = scratch.save(lambda: _candidates(rest.join(mixed, "token", "left_semi"), ["token", "pi", "pj"], num, den, every=True).join(tested, ["a", "b"], "left_anti"), "rest")
+    final = scratch.save(lambda: _candidates(_signed(rest.join(mixed, "token", "left_semi"), signatures, False), ["token", "pi", "pj"], num, den, every=True).join(tested, ["a", "b"], "left_anti"), "rest")
     more = scratch.save(lambda: _verified(final, docs, scratch, n, lower, num, den), "linked3")
     if more.limit(1).count():
         comp = scratch.save(lambda: components(edges.unionByName(more), scratch), "comp")
@@ -354,5 +371,17 @@ def near_duplicates(
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _signed(tiles: DataFrame, signatures: DataFrame, folded: bool) -> DataFrame:
+    """Tiles with signatures; folded: their quarters, one upon the other."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS // FOLDED, FOLDED)
+            short = np.bitwise_or.reduce(whole, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in short], pa.binary())], names=["node", "sig"])
+
+    return tiles.join(signatures.mapInArrow(fold, "node long, sig binary") if folded else signatures, "node")
+
+
 def _with_component(tiles: DataFrame, comp: DataFrame) -> DataFrame:
     return tiles.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
