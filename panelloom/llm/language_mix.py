@@ -140,8 +140,7 @@ def predict(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            raw, off = tc.string_buffers(text)
+            raw, off = tc.string_buffers(batch.column(batch.num_columns - 1))
             pred, score, lists = [], [], []
             for lo, hi in tc.row_slices(off):
                 row, bucket = trigrams(raw, off[lo : hi + 1])
@@ -160,13 +159,15 @@ def predict(
                     score.append(min(1.0, float(share[i][top])))
                     lists.append([(names[j], float(x)) for j, x in enumerate(share[i]) if x > 0.001])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(lists, pa.map_(pa.string(), pa.float64()))],
+                [*batch.columns[: len(names_out)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(lists, pa.map_(pa.string(), pa.float64()))],
                 names=[*names_out, "lang_pred", "score", "proportions"],
             )
 
-    chosen = frame.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
-    names_out = list(keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "lang_pred string", "score double", "proportions map<string,double>"])
+    # a text that is kept travels once: as the last of the kept columns
+    names_out = [c for c in keep if c != text_col] + [text_col] * (text_col in keep)
+    text = [] if text_col in keep else [F.col(text_col).cast("string").alias("__text")]
+    chosen = frame.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names_out], *text)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[: len(names_out)]), "lang_pred string", "score double", "proportions map<string,double>"])
     return chosen.mapInArrow(scan, schema)
 
 

@@ -16,7 +16,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Text bytes handled at once; bounds the temporary arrays of a Python worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
