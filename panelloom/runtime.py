@@ -30,9 +30,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
+#: Bytes of an Arrow batch that goes to Python: with many idle workers per executor, their memory counts.
+ARROW_BYTES = 4 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
+    """Send this package to the executors' Python workers, once per application, and keep their batches small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(sc, "_panelloom_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
