@@ -33,17 +33,18 @@ def suffix_matcher(window: int, anchor: int) -> wn.Matcher:
     """Finds equal windows of runs that share an anchor, through one suffix array per anchor."""
 
     def match(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, eh: np.ndarray, nw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # equal extents of one document are sorted once
+        # equal extents of one document are looked at once
         head = np.ones(len(kh), bool)
         head[1:] = (kh[1:] != kh[:-1]) | (eh[1:] != eh[:-1])
         at = np.flatnonzero(head)
-        run, where = distinct([ext[i] for i in at], doc[at], kh[at], nw[at], off[at])
+        run, where = distinct([ext[i] for i in at], doc[at], kh[at], off[at])
         copies = np.diff(np.append(at, len(kh)))[run]
         first = np.repeat(at[run], copies)
         nth = np.arange(len(first)) - np.repeat(np.cumsum(copies) - copies, copies)
         return first + nth, np.repeat(where, copies)
 
-    def distinct(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, nw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def distinct(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         new = np.ones(len(kh), bool)
         new[1:] = kh[1:] != kh[:-1]
         group = np.cumsum(new) - 1
@@ -54,45 +55,62 @@ def suffix_matcher(window: int, anchor: int) -> wn.Matcher:
         np.minimum.at(low, group[alive], doc[alive])
         np.maximum.at(high, group[alive], doc[alive])
         alive &= (low < high)[group]
-        picked = np.flatnonzero(alive)
-        group = group[alive]
-        if not len(picked):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # what lies beyond the reach of all others is in no common window
-        begin = off - left
-        ext = [x[a:b] for x, a, b in zip(ext, begin.tolist(), (off + anchor + right).tolist(), strict=True)]
-        nw = left + right + anchor - window + 1
-        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        bounds = np.append(cut, len(group))
-        lengths = np.array([len(x) + 1 for x in ext])
-        total = np.add.reduceat(lengths[picked], cut)
-        order = np.argsort(total, kind="stable")
-        hits: list[tuple[np.ndarray, np.ndarray]] = []
-        i = 0
-        while i < len(order):
-            n = int(total[order[i]])
-            if n > LOCKSTEP:
-                rows = picked[bounds[order[i]] : bounds[order[i] + 1]]
-                text, whose, at = _laid_out([ext[r] for r in rows], rows, n)
-                sa = np.array(suffix_array(text.astype(np.int64)), np.int64)[None, :]
-                hits.append(_equal_neighbours(sa, text[None, :], whose[None, :], at[None, :], nw, doc, window))
-                i += 1
-                continue
-            j = i
-            while j < len(order) and total[order[j]] <= min(LOCKSTEP, n + 24) and (j - i + 1) * total[order[j]] <= CELLS:
-                j += 1
-            j = max(j, i + 1)
-            width = int(total[order[j - 1]])
-            laid = [_laid_out([ext[r] for r in rows], rows, width) for rows in (picked[bounds[g] : bounds[g + 1]] for g in order[i:j])]
-            text, whose, at = (np.stack(x) for x in zip(*laid, strict=True))
-            hits.append(_equal_neighbours(suffix_arrays(text), text, whose, at, nw, doc, window))
-            i = j
-        run, where = (np.concatenate(x) for x in zip(*hits, strict=True))
-        return run, where + begin[run]
+        rows = np.flatnonzero(alive)
+        if not len(rows):
+            return none
+        # what lies beyond the reach of all others is in no common window; what is equal then is one string
+        begin, end = (off - left)[rows].tolist(), (off + anchor + right)[rows].tolist()
+        known: dict[tuple, int] = {}
+        owner = np.array([known.setdefault((g, ext[i][a:b]), len(known)) for g, i, a, b in zip(group[rows].tolist(), rows.tolist(), begin, end, strict=True)])
+        strings = [x for _, x in known]
+        of_group = np.array([g for g, _ in known])
+        count = np.array([len(x) for x in strings]) - window + 1
+        base = np.cumsum(count) - count
+        owned = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(owned, owner, doc[rows])
+        least = np.repeat(owned, count)  # the least document that has a window, by string and window
+        _sorted_windows(strings, of_group, owned, count, base, least, window)
+        many = count[owner]
+        flat = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        hit = np.repeat(doc[rows], many) > least[np.repeat(base[owner], many) + flat]
+        return np.repeat(rows, many)[hit], (flat + np.repeat(begin, many))[hit]
 
     return match
 
 
+def _sorted_windows(strings: list[bytes], group: np.ndarray, doc: np.ndarray, count: np.ndarray, base: np.ndarray, least: np.ndarray, window: int) -> None:
+    """Suffix-sort the strings of each group that has several, and lower `least` to what equal windows have."""
+    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    bounds = np.append(cut, len(group))
+    total = np.add.reduceat(count + window, cut)
+    order = np.argsort(total, kind="stable")
+    order = order[np.diff(bounds)[order] > 1]
+
+    def settle(sa: np.ndarray, text: np.ndarray, whose: np.ndarray, at: np.ndarray) -> None:
+        who, where, low = _equal_neighbours(sa, text, whose, at, count, doc, window)
+        least[base[who] + where] = np.minimum(least[base[who] + where], low)
+
+    i = 0
+    while i < len(order):
+        n = int(total[order[i]])
+        if n > LOCKSTEP:
+            rows = np.arange(bounds[order[i]], bounds[order[i] + 1])
+            text, whose, at = _laid_out([strings[r] for r in rows], rows, n)
+            sa = np.array(suffix_array(text.astype(np.int64)), np.int64)[None, :]
+            settle(sa, text[None, :], whose[None, :], at[None, :])
+            i += 1
+            continue
+        j = i
+        while j < len(order) and total[order[j]] <= min(LOCKSTEP, n + 24) and (j - i + 1) * total[order[j]] <= CELLS:
+            j += 1
+        j = max(j, i + 1)
+        width = int(total[order[j - 1]])
+        laid = [_laid_out([strings[r] for r in rows], rows, width) for rows in (np.arange(bounds[g], bounds[g + 1]) for g in order[i:j])]
+        text, whose, at = (np.stack(x) for x in zip(*laid, strict=True))
+        settle(suffix_arrays(text), text, whose, at)
+        i = j
+
+
 def _reach(ext: list[bytes], group: np.ndarray, off: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """How far, left and right of the anchor, a run agrees at most with another one of its group.
 
@@ -133,15 +151,16 @@ def _laid_out(ext: list[bytes], rows: np.ndarray, width: int) -> tuple[np.ndarra
     return text, whose, at
 
 
-def _equal_neighbours(sa: np.ndarray, text: np.ndarray, whose: np.ndarray, at: np.ndarray, nw: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _equal_neighbours(
+    sa: np.ndarray, text: np.ndarray, whose: np.ndarray, at: np.ndarray, count: np.ndarray, doc: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, window, least document of its equals) of all windows, from the order of the suffixes."""
     m, n = text.shape
     flat = (sa + (np.arange(m) * n)[:, None]).ravel()
     line = np.repeat(np.arange(m), n)
     who, where = whose.ravel()[flat], at.ravel()[flat]
-    starts = (who >= 0) & (where < nw[np.maximum(who, 0)])
+    starts = (who >= 0) & (where < count[np.maximum(who, 0)])
     flat, who, where, line = flat[starts], who[starts], where[starts], line[starts]
-    if not len(flat):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(text.ravel(), window)
     new = np.ones(len(flat), bool)
     new[1:] = line[1:] != line[:-1]
@@ -149,9 +168,7 @@ def _equal_neighbours(sa: np.ndarray, text: np.ndarray, whose: np.ndarray, at: n
         hi = min(lo + (1 << 16), len(flat))
         new[lo:hi] |= (views[flat[lo:hi]] != views[flat[lo - 1 : hi - 1]]).any(axis=1)
     first = np.flatnonzero(new)
-    least = np.minimum.reduceat(doc[who], first)[np.cumsum(new) - 1]
-    hit = doc[who] > least
-    return who[hit], where[hit]
+    return who, where, np.minimum.reduceat(doc[who], first)[np.cumsum(new) - 1]
 
 
 def remove_repeated_bytes(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, anchor: int = 18) -> DataFrame:

@@ -319,13 +319,20 @@ def _block(table: pa.Table, matcher: Matcher, units: Units) -> Iterator[pa.Recor
     kh, eh, doc, nw, off = (table.column(c).to_numpy() for c in ("kh", "eh", "doc", "nw", "off"))
     run, window = matcher(table.column("ext").to_pylist(), doc, kh, eh, nw, off)
     if len(run):
+        order = np.lexsort((window, run))
+        run, window = run[order], window[order]
+        new = np.ones(len(run), bool)
+        new[1:] = (run[1:] != run[:-1]) | (window[1:] != window[:-1] + 1)
+        last = window[np.append(np.flatnonzero(new)[1:], len(run)) - 1]
+        run, window = run[new], window[new]
         start = table.column("s").to_numpy()[run] + window
+        end = table.column("s").to_numpy()[run] + last + units.window
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(doc[run]),
                 pa.array(table.column("tag").to_numpy()[run]),
                 pa.array(start.astype(np.int32)),
-                pa.array((start + units.window).astype(np.int32)),
+                pa.array(end.astype(np.int32)),
             ],
             names=["doc", "tag", "s", "e"],
         )
