@@ -1,3 +1,18 @@
 """Panel analytics on Spark: lagged panels, leakage-safe splits, discretised states and least-squares scoring."""
 
 __version__ = "0.1.0"
+
+__all__ = ["DiscoveryConfig", "StudySpec", "build_lagged", "discover", "discover_file", "load_spec", "plan_splits", "validate_panel"]
+
+
+def __getattr__(name: str):
+    """Public names, imported when they are first asked for."""
+    places = {
+        "DiscoveryConfig": "plans.discovery", "discover": "plans.discovery", "discover_file": "plans.discovery", "StudySpec": "plans.spec",
+        "load_spec": "plans.spec", "build_lagged": "operators.panel", "validate_panel": "operators.panel", "plan_splits": "operators.splits",
+    }
+    if name in places:
+        from importlib import import_module
+
+        return getattr(import_module(f"panelloom.{places[name]}"), name)
+    raise AttributeError(name)
