@@ -103,17 +103,18 @@ _LIVE: list[Scratch] = []
 
 
 def scratch_for(spark: SparkSession, label: str) -> Scratch:
-    """A scratch folder whose tables the caller's lazy result may still read.
-
-    Folders of earlier results go when the same operator asks again for one in this application.
-    """
-    for old in [s for s in _LIVE if s.root.rsplit("/", 1)[1].rsplit("-", 1)[0] == label]:
-        _LIVE.remove(old)
+    """A scratch folder whose tables the caller's lazy result may still read."""
     new = Scratch(spark, label)
     _LIVE.append(new)
     return new
 
 
+def release_scratch() -> None:
+    """Drop the folders of all operators so far; for callers that have written every result they need."""
+    while _LIVE:
+        _LIVE.pop().drop()
+
+
 @contextmanager
 def temporary_scratch(spark: SparkSession, label: str):
     out = Scratch(spark, label)
