@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; run() writes it to the shared folder and
 reads it as the next stage's docs. All but the last return the columns of documents. Documents with a null id are
-dropped by the first stage: no later decision could name them.
+dropped by the first stage: no later decision could name them. As a stage's docs are written, what earlier stages kept in
+the shared folder goes when it begins.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from panelloom.llm.ngram_join import near_duplicates
 from panelloom.llm.packing import pack
 from panelloom.llm.string_tiling import contaminated
 from panelloom.llm.substring_dedup import remove_repeated_words
-from panelloom.runtime import Scratch
+from panelloom.runtime import Scratch, release_scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if its main language has at least this proportion.
@@ -24,6 +25,7 @@ LEAST_PROPORTION = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter and those with no main language go; lang becomes the inferred one."""
+    release_scratch()
     named = docs.where("doc_id is not null").select(*COLUMNS).withColumn("known", F.col("lang")).drop("lang")
     judged = identify(named, lang_col="known", keep=("text", "source", "n_chars"))
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_PROPORTION))
@@ -32,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by word 5-grams of similarity 0.8 or more the document of the least id stays."""
+    release_scratch()
     groups = near_duplicates(docs, n=5, num=80, den=100)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
@@ -39,6 +42,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in 50-word windows that an earlier document has are removed; documents without any word left go."""
+    release_scratch()
     cut = remove_repeated_words(docs).select(F.col("doc_id").alias("id"), F.col("n_removed"), F.col("n_words"), F.col("text").alias("left_over"))
     touched = cut.where("n_removed > 0")
     text = F.when(F.col("n_removed") > 0, F.col("left_over")).otherwise(F.col("text"))
@@ -48,6 +52,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item's words in matching passages go."""
+    release_scratch()
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = contaminated(docs, benchmark).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
@@ -55,6 +60,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2048: one row per piece with its place."""
+    release_scratch()
     return pack(docs)
 
 

@@ -30,7 +30,7 @@ from panelloom.llm import textcore as tc
 from panelloom.llm.components import components
 from panelloom.runtime import Scratch, scratch_for, ship_package
 
-SKETCH_BITS = 16
+SKETCH_BITS = 18
 #: 64-bit words of a signature, and of its folded form for the first pass.
 SIGNATURE_WORDS, FOLDED = 32, 8
 TILE = 4096
@@ -72,7 +72,7 @@ def _profile(docs: DataFrame, n: int, lower: bool) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["node", "doc", "n", "h1", "h2", "sig"]
+        names = ["node", "doc", "n", "h1", "h2", "sig", "long_sig"]
         for batch in batches:
             raw, off = tc.string_buffers(batch.column(2))
             for lo, hi in tc.row_slices(off):
@@ -82,24 +82,50 @@ def _profile(docs: DataFrame, n: int, lower: bool) -> DataFrame:
                 bit = (tc.mix(grams + np.uint64(5)) >> np.uint64(32)).astype(np.int64) % (64 * SIGNATURE_WORDS)
                 key = np.unique(row * (64 * SIGNATURE_WORDS) + bit)
                 np.bitwise_or.at(sig.ravel(), key // 64, np.uint64(1) << (key % 64).astype(np.uint64))
+                size = np.bincount(row, minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         batch.column(1).slice(lo, hi - lo),
-                        pa.array(np.bincount(row, minlength=hi - lo).astype(np.int64)),
+                        pa.array(size.astype(np.int64)),
                         pa.array(_sums(tc.mix(grams), row, hi - lo).view(np.int64)),
                         pa.array(_sums(tc.mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)), row, hi - lo).view(np.int64)),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
+                        pa.array(_long_signatures(grams, size), pa.binary()),
                     ],
                     names=names,
                 )
-        if counts.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary())],
-                names=names,
-            )
-
-    return docs.mapInArrow(scan, "node long, doc long, n long, h1 long, h2 long, sig binary")
+        at = np.flatnonzero(counts)
+        if len(at):
+            none, zero = pa.array([None], pa.int64()), pa.array([0], pa.int64())
+            packed = [pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([none, none, zero, zero, zero, *packed], names=names)
+
+    return docs.mapInArrow(scan, "node long, doc long, n long, h1 long, h2 long, sig binary, long_sig binary")
+
+
+def _long_signatures(grams: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A bitmap per row of at least four bits for each n-gram, a power of two."""
+    out, at = [], 0
+    hashed = tc.mix(grams + np.uint64(9))
+    for n in size.tolist():
+        bits = max(64, 1 << (4 * n - 1).bit_length()) if n else 64
+        mark = np.zeros(bits, bool)
+        mark[(hashed[at : at + n] & np.uint64(bits - 1)).astype(np.int64)] = True
+        out.append(np.packbits(mark).tobytes())
+        at += n
+    return out
+
+
+def _plausible(n_a: int, n_b: int, a: bytes, b: bytes, num: int, den: int) -> bool:
+    """Whether long signatures leave the similarity possible; the longer one is folded to the shorter one's length."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    bound = (n_a + n_b - int(np.bitwise_count(x ^ y).sum(dtype=np.int64))) // 2
+    return bound * (den + num) >= num * (n_a + n_b)
 
 
 def _frequencies(profile: DataFrame) -> np.ndarray:
@@ -108,11 +134,11 @@ def _frequencies(profile: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x, np.int64)
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[np.frombuffer(at, np.int32)] += np.frombuffer(counts, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sig"])
 
-    parts = profile.where("node is null").select("sig").repartition(8).mapInArrow(add, "sig binary").collect()
+    parts = profile.where("node is null").select("sig", "long_sig").repartition(8).mapInArrow(add, "sig binary").collect()
     return sum((np.frombuffer(bytes(r["sig"]), np.int64) for r in parts), np.zeros(1 << SKETCH_BITS, np.int64))
 
 
@@ -264,8 +290,19 @@ def _candidates(tiles: DataFrame, keys: list[str], num: int, den: int, every: bo
     return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, n: int, lower: bool, num: int, den: int) -> DataFrame:
-    """The pairs whose sets reach the similarity, by intersecting sorted arrays."""
+def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scratch, n: int, lower: bool, num: int, den: int) -> DataFrame:
+    """The pairs whose sets reach the similarity: long signatures bound it first, sorted arrays decide."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(2, 6)]
+            ok = pa.array([_plausible(*x, num, den) for x in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    long_ = sizes.select("node", "n", "long_sig").distinct()
+    one, two = long_.toDF("a", "na", "sa"), long_.toDF("b", "nb", "sb")
+    every = pairs
+    pairs = scratch.save(lambda: every.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(prune, "a long, b long"), "plausible")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +365,7 @@ def near_duplicates(
         dealt = dealt.unionByName(plain(blocked.drop("m", "blocks")))
     first = scratch.save(lambda: _candidates(_signed(dealt, signatures, True), ["token", "block"], num, den, every=False), "forest")
     tested = first
-    edges = scratch.save(lambda: _verified(first, docs, scratch, n, lower, num, den), "linked")
+    edges = scratch.save(lambda: _verified(first, docs, sizes, scratch, n, lower, num, den), "linked")
     if repeated:
         one = docs.groupBy("doc").agg(F.min("node").alias("b"))
         edges = edges.unionByName(docs.join(one, "doc").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
@@ -337,7 +374,7 @@ def near_duplicates(
         one = F.row_number().over(Window.partitionBy("token", "comp").orderBy("node"))
         reps = _with_component(blocked, comp).withColumn("k", one).where("k = 1").drop("k", "m", "blocks", "block").withColumn("side", F.lit(3))
         again = scratch.save(lambda: _candidates(_signed(reps, signatures, True), ["token"], num, den, every=False).join(tested, ["a", "b"], "left_anti"), "forest2")
-        more = scratch.save(lambda: _verified(again, docs, scratch, n, lower, num, den), "linked2")
+        more = scratch.save(lambda: _verified(again, docs, sizes, scratch, n, lower, num, den), "linked2")
         edges, tested = edges.unionByName(more), tested.unionByName(again)
     comp = scratch.save(lambda: components(edges, scratch), "comp")
     rest = _with_component(small, comp).withColumn("side", F.lit(3)).withColumn("pi", F.lit(0)).withColumn("pj", F.lit(0))
@@ -349,7 +386,7 @@ def near_duplicates(
         rest = rest.unionByName(pairs.drop("m", "blocks", "block", "other"))
     mixed = rest.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     final = scratch.save(lambda: _candidates(_signed(rest.join(mixed, "token", "left_semi"), signatures, False), ["token", "pi", "pj"], num, den, every=True).join(tested, ["a", "b"], "left_anti"), "rest")
-    more = scratch.save(lambda: _verified(final, docs, scratch, n, lower, num, den), "linked3")
+    more = scratch.save(lambda: _verified(final, docs, sizes, scratch, n, lower, num, den), "linked3")
     if more.limit(1).count():
         comp = scratch.save(lambda: components(edges.unionByName(more), scratch), "comp")
     full = sizes.where("n > 0")
