@@ -31,6 +31,7 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?P<end>>|\Z)",
     re.DOTALL,
 )
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 #: HTML element names by what they do to text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -39,11 +40,13 @@ SILENT = frozenset("script style noscript template svg math iframe object head t
 #: Elements and words in class, id or role that mark what is not the article.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|gdpr|notices?"
+    r"(?:^|[\s_-])(?:ads?\d*|ad(?:box|slot|unit|sense)|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|footer|cookies?|consent|gdpr|notices?"
     r"|popup|modal|newsletter|subscribe|signup|login|social|share|sharing|related|recommend\w*|comments?|commentlist|respond|replies|reply|disqus|pagination|pager"
     r"|widget|toolbar|search|form|complementary|contentinfo|navigation|dialog|alert|disclaimer|copyright|legal|tags?)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words that mark the page's head, but within an article the article's.
+HEAD_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.IGNORECASE)
 MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|main|post|entry|content|story|articlebody|page-body)(?=$|[\s_-])", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -151,11 +154,12 @@ def blocks_of(page: str) -> list[Block]:
             heading = False
         aside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         marks = " ".join(x[1] or x[2] or x[3] for x in ATTRIBUTE.findall(m["rest"])) if m["rest"] else ""
+        marks = CAMEL.sub("-", marks)
         if name in MAIN_TAGS or (marks and name not in ("body", "html") and MAIN_WORDS.search(marks) and not ASIDE_WORDS.search(marks)):
             main = True
-        if name in ASIDE_TAGS or (name == "header" and not main):
+        if name in ASIDE_TAGS or (not main and (name == "header" or HEAD_WORDS.search(marks))):
             aside = True
-        elif marks and name not in ("body", "html", "article", "main") and ASIDE_WORDS.search(marks) and not (name == "header" and main):
+        elif marks and name not in ("body", "html", "article", "main") and ASIDE_WORDS.search(marks):
             aside = True
         if not m["rest"].endswith("/"):
             stack.append((name, aside, main))

@@ -18,6 +18,7 @@ PAGES = {
     f"<article><p>{LONG}</p><!-- unclosed {MORE}": LONG,
     f"<ARTICLE><P TITLE='a>b'>{LONG}<P>caf&eacute;&#233;&#xe9;&nbsp;x &am</ARTICLE>": f"{LONG}\ncafééé x &am",
     f"<article><p>{LONG} <a href=x>with a link</a> inside</p><p><em>x</em>y</p></article>": f"{LONG} with a link inside\nxy",
+    f"<div id='pageHeader'>Site name and slogan of the site</div><div class='entry'><div class='entry-header'><h1>Head</h1></div><p>{LONG}</p><div class='userComments'><p>{MORE}</p></div><div class=adBox>{MORE}</div></div>": f"Head\n{LONG}",
     "<nav>a</nav>": "",
     "": "",
     None: "",
