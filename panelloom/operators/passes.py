@@ -101,7 +101,7 @@ def run_pass(frame: DataFrame, layout: Layout, work: Callable[[Batch], Parts]) -
 
 
 #: Bits per round of a selection by histograms.
-ROUND_BITS = 11
+ROUND_BITS = 13
 
 
 def sortable(values: np.ndarray) -> np.ndarray:

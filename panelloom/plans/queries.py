@@ -58,6 +58,8 @@ def _rows(frame: DataFrame, target: str, numeric: list[str], roles: list[Column]
 def _encoders(frame: DataFrame, target: str, numeric: list[str], recipes: list[Recipe]) -> dict[int, Encoder]:
     """Recipes fitted on all rows."""
     rows, layout = _rows(frame, target, numeric, [F.lit(1)])
+    # fitting reads its narrow rows many times: the lead's shuffle is not repeated
+    rows = scratch_for(frame.sparkSession, "encoders").save(lambda: rows, "rows")
     fits = fit_recipes(rows, layout, recipes)
     return {r.recipe_id: fits.by[r.recipe_id, 0] for r in recipes}
 
