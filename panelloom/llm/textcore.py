@@ -15,6 +15,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 BASE_INV = pow(BASE, -1, 1 << 64)
+CACHED = 1 << 22
 #: Text bytes handled at once; bounds the temporary arrays of a Python worker.
 SLICE_BYTES = 1 << 18
 
@@ -36,15 +37,16 @@ _POWERS = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """BASE**0 .. BASE**(n-1) modulo 2**64 (or those of its inverse), cached and grown by doubling."""
+    """BASE**0 .. BASE**(n-1) modulo 2**64 (or those of its inverse), grown by doubling and cached up to CACHED."""
     have = _POWERS.get(inverse)
     if have is None or len(have) < n:
-        base, size = (BASE_INV if inverse else BASE), 1
-        have = np.ones(1, np.uint64)
+        base = BASE_INV if inverse else BASE
+        have, size = np.ones(1, np.uint64), 1
         while size < n:
             have = np.concatenate([have, have * np.uint64(pow(base, size, 1 << 64))])
             size *= 2
-        _POWERS[inverse] = have
+        if size <= CACHED:
+            _POWERS[inverse] = have
     return have[:n]
 
 
@@ -118,9 +120,18 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[n
 
 
 def word_hashes(raw: np.ndarray, base: int, end: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word."""
-    prefix = prefix_hash(BYTE_CODE[raw[base:end]])
-    return piece_hash(prefix, starts - base, ends - base)
+    """64-bit hash of each word; long texts are taken in parts that begin and end with words."""
+    if end - base <= 4 * SLICE_BYTES:
+        prefix = prefix_hash(BYTE_CODE[raw[base:end]])
+        return piece_hash(prefix, starts - base, ends - base)
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE_BYTES)))
+        low, high = int(starts[i]), int(ends[j - 1])
+        prefix = prefix_hash(BYTE_CODE[raw[low:high]])
+        out[i:j] = piece_hash(prefix, starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -35,7 +35,7 @@ FIELDS = ["kh", "eh", "doc", "place", "mark"]
 #: comparison of runs yields the other kinds.
 COVERED, REQUEST, CLASS, RECORD = 0, 1, 2, 3
 #: Windows of one text handled at once.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -46,10 +46,14 @@ class Units:
     window: int
     anchor: int
 
+    def __post_init__(self) -> None:
+        if not 0 < self.anchor <= self.window or self.window >= 4096:
+            raise ValueError("an anchor must fit a window, and a window have fewer than 4096 units")
+
     def codes(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit code of each unit of the rows, and each row's first unit (n+1 long)."""
+        """Bytes, or the 64-bit hash of each word, of the rows, and each row's first unit (n+1 long)."""
         if not self.words:
-            return tc.BYTE_CODE[raw[offsets[0] : offsets[-1]]], offsets - offsets[0]
+            return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
         starts, ends, first = tc.words_of(raw, offsets, tc.SPACE_WORDS)
         return tc.word_hashes(raw, int(offsets[0]), int(offsets[-1]), starts, ends), first
 
@@ -93,6 +97,7 @@ def runs(docs: DataFrame, units: Units) -> DataFrame:
                 parts = []
                 for at in range(0, max(0, len(codes) - units.window + 1), SEGMENT):
                     part = codes[at : at + SEGMENT + units.window - 1]
+                    part = part if units.words else tc.BYTE_CODE[part]
                     prefix = tc.prefix_hash(part)
                     spot = np.arange(len(part) - units.anchor + 1)
                     grams = tc.piece_hash(prefix, spot, spot + units.anchor)

@@ -85,6 +85,19 @@ def test_bytes(spark, monkeypatch, seed, n, words, most):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == sorted(want)
 
 
+def test_very_long_texts(spark):
+    """Texts beyond a slice and a segment: a copy of the middle of one is found in the other, and nothing else."""
+    rng = random.Random(7)
+    words = [f"{rng.randrange(10**9)}" for _ in range(160_000)]
+    rows = [(1, " ".join(words)), (2, "start " + " ".join(words[40_000:100_000]) + " end")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in remove_repeated_words(frame).collect()}
+    assert got[1].n_removed == 0 and got[2].text == "start end" and got[2].n_removed == 60_000
+    got = {r.doc_id: r for r in remove_repeated_bytes(frame).collect()}
+    middle = len(" ".join(words[40_000:100_000]))
+    assert got[1].n_removed == 0 and len(got[2].spans) == 1 and middle <= got[2].n_removed <= middle + 2
+
+
 def test_empty_tables(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_words(frame).count() == 0
