@@ -3,10 +3,11 @@
 1. Executors tokenize whole texts and cut only what is longer than `capacity`; what is kept of a piece is its length,
    place and checksum (and the ids, if wanted).
 2. The driver gets the histogram of lengths: at most `capacity` numbers, whatever the input. A configuration is a
-   multiset of lengths that fits a sequence. The covering program over all configurations is solved by multiplicative
-   weights: a knapsack dynamic program prices the configuration of the greatest weight, it is taken as often as the
-   histogram allows within one step, and the weights of the lengths that it covers shrink. Steps are whole numbers,
-   so the solution is rounded as it grows; what is left goes best fit into open sequences, on the histogram.
+   multiset of lengths that fits a sequence. The covering program over all configurations is solved fractionally by
+   multiplicative weights: a knapsack dynamic program prices configurations, those near the best price grow together,
+   and the weights of the lengths that they cover shrink. The solution is rounded down, and only the residue goes
+   greedily and best fit into sequences, on the histogram. Where best fit alone is within a thousandth of the
+   program's dual bound, it stands. Of the plans the one of the fewest sequences is taken.
 3. Executors number the pieces of each length (counts by length and bucket give offsets, so no task sees all pieces of
    a length) and look up the place of each number.
 
@@ -122,12 +123,10 @@ def configuration(value: np.ndarray, lengths: np.ndarray, left: dict[int, int],
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 400, rate: float = 0.7) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: count}) such that the configurations hold the histogram exactly."""
+def greedy(histogram: dict[int, int], capacity: int, rounds: int = 400, rate: float = 0.7) -> list[tuple[int, dict[int, int]]]:
+    """Priced configurations in whole numbers as long as they fill sequences, then best fit: for what rounding leaves."""
     left = dict(sorted(histogram.items()))
     done: list[tuple[int, dict[int, int]]] = []
-    if left.get(capacity):
-        done.append((left.pop(capacity), {capacity: 1}))
     # a length's dual price is its share of a sequence times its weight: at first large pieces weigh a little more, as
     # small ones fill gaps later on; weights shrink with what is covered
     weight = {n: 1 + 0.1 * n / capacity for n in left}
@@ -147,6 +146,128 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 400, rate: flo
     return done + best_fit(left, capacity)
 
 
+def knapsack(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best, last): by room, the greatest value that fits and the length that its filling ends with, 0 if it is that of
+    less room. value[n] is that of length n, -inf if there is none."""
+    capacity = len(value) - 1
+    back = value[:0:-1].copy()
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for c in range(1, capacity + 1):
+        options = back[capacity - c :] + best[:c]
+        k = int(options.argmax())
+        if options[k] > best[c - 1]:
+            best[c], last[c] = options[k], c - k
+        else:
+            best[c] = best[c - 1]
+    return best, last
+
+
+def dual_bound(histogram: dict[int, int], price: np.ndarray) -> float:
+    """What no packing, even a fractional one, goes below: the histogram's worth over the best configuration's."""
+    return sum(k * float(price[n]) for n, k in histogram.items()) / float(knapsack(price)[0][-1])
+
+
+def fractional(histogram: dict[int, int], capacity: int, gap: float = 0.05, eta: float = 150.0, limit: int = 8000) -> tuple[list[tuple[float, dict[int, int]]], float]:
+    """([(times, {length: count})], bound): a fractional solution of the covering program over all configurations, full
+    or not, and the greatest dual bound met. In each step the known configurations within `gap` of the best price grow
+    together, and prices shrink by exp(-eta * coverage); every 40 steps, or when none is that near, the knapsack prices
+    all configurations anew. Ends when every length is covered; after `limit` steps the rest stays uncovered."""
+    lengths = np.array(sorted(histogram), np.int64)
+    have = np.array([histogram[int(n)] for n in lengths], float)
+    m, rng = len(lengths), np.random.default_rng(0)
+    marks = rng.integers(1, 1 << 62, capacity + 1)
+    at = np.zeros(capacity + 1, np.int64)
+    at[lengths] = np.arange(m)
+    col, row, count = (np.zeros(0, np.int64) for _ in range(3))
+    x, base = np.zeros(0), np.zeros(0)
+    known: set[int] = set()
+    covered, bound, top = np.zeros(m), 0.0, np.inf
+    for step in range(limit):
+        if covered.min() >= 1:
+            break
+        price = lengths / capacity * np.exp(-eta * (covered - covered.min()))
+        worth = np.bincount(col, price[row] * count, len(x))
+        if step % 40 == 0 or worth.max() < (1 - gap) * top:
+            value = np.full(capacity + 1, -np.inf)
+            value[lengths] = price
+            if step % 80 == 0:
+                bound = max(bound, dual_bound(histogram, value))
+            else:
+                value[lengths] *= 1 - gap / 2 * rng.random(m)  # other fillings of about the same price
+            best, last = knapsack(value)
+            top = float(best[capacity])
+            # the best configuration through each length, where it is near the best of all
+            first = lengths[value[lengths] + best[capacity - lengths] >= (1 - gap) * top]
+            stop = np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0))
+            room, mark, held = stop[capacity - first], marks[first], [(np.arange(len(first)), first)]
+            live = np.flatnonzero(room > 0)
+            while len(live):
+                taken = last[room[live]]
+                held.append((live, taken))
+                mark[live] += marks[taken]
+                room[live] = stop[room[live] - taken]
+                live = live[room[live] > 0]
+            fresh = {k: i for i, k in enumerate(mark.tolist()) if k not in known}
+            known.update(fresh)
+            place = np.full(len(first), -1)
+            place[list(fresh.values())] = len(x) + np.arange(len(fresh))
+            which, taken = place[np.concatenate([a for a, _ in held])], at[np.concatenate([b for _, b in held])]
+            pairs, n = np.unique(which[which >= 0] * m + taken[which >= 0], return_counts=True)
+            col, row, count = np.concatenate([col, pairs // m]), np.concatenate([row, pairs % m]), np.concatenate([count, n])
+            x = np.concatenate([x, np.zeros(len(fresh))])
+            base = np.full(len(x), np.inf)
+            np.minimum.at(base, col, have[row] / count)
+            worth = np.bincount(col, price[row] * count, len(x))
+        # in proportion to what they have; new ones begin with a little of their scarcest length
+        grow = np.where(worth >= (1 - gap) * min(top, worth.max()), x + base * 0.01 * max(float(covered.mean()), 1e-3), 0)
+        more = np.bincount(row, grow[col] * count, m) / have
+        size = 0.5 / (eta * more.max())
+        x += size * grow
+        covered += size * more
+    out: list[tuple[float, dict[int, int]]] = [(t, {}) for t in (x / max(1.0, float(covered.min()))).tolist()]
+    for c, r, k in zip(col.tolist(), row.tolist(), count.tolist(), strict=True):
+        out[c][1][int(lengths[r])] = k
+    return [group for group in out if group[0] > 0], bound
+
+
+def rounded(solution: list[tuple[float, dict[int, int]]], histogram: dict[int, int]) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
+    """The solution rounded down, no more of a length than there is, and the histogram of what is left."""
+    left, done = dict(histogram), []
+    for amount, held in sorted(solution, key=lambda g: -g[0]):
+        times = min(int(amount + 1e-9), *(left[n] // k for n, k in held.items()))
+        if times > 0:
+            done.append((times, held))
+            for n, k in held.items():
+                left[n] -= times * k
+    return done, {n: k for n, k in left.items() if k > 0}
+
+
+def solve(histogram: dict[int, int], capacity: int, near: float = 0.001) -> list[tuple[int, dict[int, int]]]:
+    """(times, {length: count}) such that the configurations hold the histogram exactly.
+
+    Best fit stands if it is within `near` of the dual bound of plain shares: no packing then saves more than that.
+    Else the program is solved fractionally and rounded down, and only the residue is packed as it comes."""
+    left = {n: k for n, k in sorted(histogram.items()) if k > 0}
+    whole: list[tuple[int, dict[int, int]]] = []
+    if left.get(capacity):
+        whole.append((left.pop(capacity), {capacity: 1}))
+    if not left:
+        return whole
+    value = np.full(capacity + 1, -np.inf)
+    value[list(left)] = np.array(list(left)) / capacity
+
+    def sequences(plan: list[tuple[int, dict[int, int]]]) -> int:
+        return sum(times for times, _ in plan)
+
+    plain = best_fit(left, capacity)
+    if sequences(plain) <= np.ceil(dual_bound(left, value) * (1 + near) - 1e-6):
+        return whole + plain
+    solution, _ = fractional(left, capacity)
+    done, residue = rounded(solution, left)
+    plans = [plain, greedy(left, capacity), done + greedy(residue, capacity), done + best_fit(residue, capacity)]
+    return whole + min(plans, key=sequences)
+
+
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Longest first, each into the fullest sequences that it fits; equal sequences are kept as one entry."""
     room: dict[int, list[tuple[int, dict[int, int]]]] = {}

@@ -66,3 +66,28 @@ def test_round_trip(spark):
     total = sum(r.length for r in got)
     assert len(places) <= -(-total // 64) * 1.05 + 1
     assert pk.pack(frame.limit(0)).count() == 0
+
+
+def test_program_beats_best_fit():
+    """No configuration of these lengths is full (the largest holds 2045), and best fit takes 11,000 sequences."""
+    histogram = {1035: 6000, 535: 6000, 523: 6000, 487: 12000}
+    assert sum(t for t, _ in pk.best_fit(histogram, 2048)) == 11000
+    plan = pk.solve(histogram, 2048)
+    held = {n: sum(t * g.get(n, 0) for t, g in plan) for n in histogram}
+    assert held == histogram and all(sum(n * k for n, k in g.items()) <= 2048 for _, g in plan)
+    solution, bound = pk.fractional(histogram, 2048)
+    assert 8990 <= bound <= sum(t for t, _ in solution) <= 1.005 * bound
+    assert sum(t for t, _ in plan) <= 9010
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_program_covers(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.choice(rng.integers(300, 1500, 60), 60000)
+    histogram = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True))
+    solution, bound = pk.fractional(histogram, 2048)
+    for n, k in histogram.items():
+        assert sum(t * g.get(n, 0) for t, g in solution) >= k * (1 - 1e-6)
+    assert all(sum(n * k for n, k in g.items()) <= 2048 for _, g in solution)
+    assert bound <= sum(t for t, _ in solution) <= 1.03 * bound
+    assert sum(t for t, _ in pk.solve(histogram, 2048)) <= 1.03 * bound + len(histogram)
