@@ -33,9 +33,11 @@ _LOADED: dict = {}
 
 
 def encoders(vocabulary: str):
-    """(fast, exact): functions from a text to its ids, for texts below SAFE_LIMIT and for all."""
+    """(fast, exact): functions from a text to its ids, for texts below SAFE_LIMIT and for all. Both give what the
+    vocabulary's tokenizer gives as it is: an added token's content within a text is that token."""
     if vocabulary not in _LOADED:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -44,15 +46,20 @@ def encoders(vocabulary: str):
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as definition:
+            added = [x["content"] for x in json.load(definition)["added_tokens"]]
         whole: list = []
 
         def exact(text: str) -> list[int]:
             if not whole:
                 whole.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
-                whole[0].encode_special_tokens = True
             return whole[0].encode(text, add_special_tokens=False).ids
 
-        _LOADED[vocabulary] = fast.encode_ordinary, exact
+        def ranks_only(text: str) -> list[int]:
+            # an added token's content is one id, which the ranks do not know
+            return exact(text) if any(x in text for x in added) else fast.encode_ordinary(text)
+
+        _LOADED[vocabulary] = ranks_only, exact
     return _LOADED[vocabulary]
 
 

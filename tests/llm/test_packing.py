@@ -91,3 +91,17 @@ def test_program_covers(seed):
     assert all(sum(n * k for n, k in g.items()) <= 2048 for _, g in solution)
     assert bound <= sum(t for t, _ in solution) <= 1.03 * bound
     assert sum(t for t, _ in pk.solve(histogram, 2048)) <= 1.03 * bound + len(histogram)
+
+
+def test_added_tokens_are_theirs(spark):
+    """Against a tokenizer of its own, with its settings as they come."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "é <|endoftext|> 中文", "<|endoftext|", "plain text"]
+    wanted = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert wanted[0] == [64, 220, 50256, 275]
+    assert [pk.tokenize(t, "byte_bpe_50k") for t in texts] == wanted
+    got = pk.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: [*ids, 0] for i, ids in enumerate(wanted)}
