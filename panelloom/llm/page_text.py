@@ -126,9 +126,11 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             continue
         if name in SILENT:
-            if name not in ("head", "svg", "math", "select", "object", "map", "audio", "video", "canvas", "noscript", "template", "button") or f"</{name}" in page[at:].lower():
-                end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else size
+            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+            if end:
+                at = end.end()
+            elif name not in ("head", "svg", "math", "select", "object", "map", "audio", "video", "canvas", "noscript", "template", "button"):
+                at = size
             if name not in ("button", "svg", "math"):
                 flush()
             continue

@@ -53,3 +53,10 @@ def test_given_pages(spark):
         inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.DOTALL)[1]
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>?", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert main_text(r.html, TREE) == "\n".join(x for x in want if x)
+
+
+@pytest.mark.parametrize("lead", ["<html><head><title>T</title><body><header><a href=/>Home</a></header>", "<body><p><select><option>x</p><selected></selected>", "<body><object><objects></objects>", "<body><map name=m><mapping></mapping>"])
+def test_end_tags_of_longer_names(lead):
+    """</header> does not end a head that is left open, and so on."""
+    found = main_text(f"{lead}<article><p>{LONG}</p><p>{MORE}</p></article>", TREE)
+    assert LONG in str(found) and MORE in str(found)
