@@ -350,6 +350,8 @@ def near_duplicates(
     docs = own.where("doc is not null").select(node.alias("node"), "doc", "text")
     profile = scratch.save(lambda: _profile(docs, n, lower), "profile")
     sizes = profile.where("node is not null")
+    full = sizes.where("n > 0")
+    classes = full.groupBy("n", "h1", "h2").agg(F.min("node").alias("rep"))
     order = _frequencies(profile)
     tiles = scratch.save(lambda: _tiles(docs, n, lower, num, den, order), "tiles")
     signatures = sizes.select("node", "sig").distinct()
@@ -367,8 +369,11 @@ def near_duplicates(
     tested = first
     edges = scratch.save(lambda: _verified(first, docs, sizes, scratch, n, lower, num, den), "linked")
     if repeated:
-        one = docs.groupBy("doc").agg(F.min("node").alias("b"))
-        edges = edges.unionByName(docs.join(one, "doc").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+        # by the nodes that stand for their classes, as all other edges; empty sets are no class
+        stands = full.join(classes, ["n", "h1", "h2"]).select("node", "rep").distinct()
+        tied = docs.select("doc", "node").join(stands, "node", "left").select("doc", F.coalesce("rep", "node").alias("node"))
+        one = tied.groupBy("doc").agg(F.min("node").alias("b"))
+        edges = edges.unionByName(tied.join(one, "doc").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
     if has_large:
         comp = scratch.save(lambda: components(edges, scratch), "comp")
         one = F.row_number().over(Window.partitionBy("token", "comp").orderBy("node"))
@@ -389,8 +394,6 @@ def near_duplicates(
     more = scratch.save(lambda: _verified(final, docs, sizes, scratch, n, lower, num, den), "linked3")
     if more.limit(1).count():
         comp = scratch.save(lambda: components(edges.unionByName(more), scratch), "comp")
-    full = sizes.where("n > 0")
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("node").alias("rep"))
     label = comp.select(F.col("node").alias("rep"), "component")
     placed = full.join(classes, ["n", "h1", "h2"]).join(label, "rep", "left").select("node", "doc", "n", F.coalesce("component", "rep").alias("component"))
     if repeated:  # rows of one id are one document, and labels are hashes

@@ -65,3 +65,14 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(components(edges, Scratch(spark, "t")).collect())
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """An id of two texts links the documents of either, whichever of equal texts' nodes hashes lowest."""
+    rows = [(900, " "), (901, ""), (901, "x y z u v w"), (902, None), (902, "some words of its own")]
+    for i in range(12):
+        one, two = (" ".join(f"{c}{i}w{k}" for k in range(9)) for c in "ab")
+        rows += [(100 + i, one), (100 + i, two), (i, one), (200 + i, two)]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)
+    got = nj.near_duplicates(frame).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 5, 80, 100)
