@@ -35,7 +35,7 @@ def suffix_matcher(window: int, anchor: int) -> wn.Matcher:
     def match(ext: list[bytes], doc: np.ndarray, kh: np.ndarray, eh: np.ndarray, nw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # equal extents of one document are looked at once
         head = np.ones(len(kh), bool)
-        head[1:] = (kh[1:] != kh[:-1]) | (eh[1:] != eh[:-1])
+        head[1:] = (kh[1:] != kh[:-1]) | (eh[1:] != eh[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(head)
         run, where = distinct([ext[i] for i in at], doc[at], kh[at], off[at])
         copies = np.diff(np.append(at, len(kh)))[run]
@@ -201,5 +201,5 @@ def remove_repeated_bytes(frame: DataFrame, id_col: str = "doc_id", text_col: st
                 names=["doc", "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    out = wn.with_spans(docs, both).mapInArrow(cut, "doc long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    out = tc.mapped(wn.with_spans(docs, both), cut, "doc long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
     return out.withColumnRenamed("doc", id_col)

@@ -1,16 +1,21 @@
 """Vectorised text primitives shared by the corpus operators.
 
 Everything works on whole Arrow buffers: the UTF-8 bytes of many rows lie behind each other, rows and words are
-(start, end) offsets into them, and hashes of arbitrary pieces come from one wrapping prefix sum (arithmetic modulo
-2**64), so no Python loop runs per word or per byte.
+(start, end) offsets into them, so no Python loop runs per word or per byte. There are three hashes. `content_hashes`
+tells pieces of text apart (words, short byte strings), `fingerprints` sequences of such hashes. `piece_hash`, from one
+wrapping prefix sum modulo 2**64, is the quick one: it chooses anchors and finds candidates, and never decides alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -64,6 +69,35 @@ def piece_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
 
 
+def gram_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
+    """piece_hash of the `size` codes from each place on."""
+    inv = powers(len(prefix), inverse=True)
+    raw = (prefix[size:] - prefix[:-size]) * inv[: len(prefix) - size]
+    return mix(raw + np.uint64(size * 0xD6E8FEB86659FD93 & _MASK))
+
+
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(scan: Scan) -> Scan:
+    """The scan, with the memory it leaves unused given back at its end: workers stay alive between tasks."""
+
+    @functools.wraps(scan)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: its own policy holds
+
+    return run
+
+
+def mapped(frame: DataFrame, scan: Scan, schema: str) -> DataFrame:
+    return frame.mapInArrow(lean(scan), schema)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null rows are empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -119,29 +153,98 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[n
     return s, e, np.searchsorted(s, offsets)
 
 
+#: Pieces beyond so many bytes are hashed one by one.
+LONG_PIECE = 128
+_HEADS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def content_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of raw[start:end] for each piece. Eight bytes at a time go through a mixer that is not linear, so
+    texts built to cancel out in a polynomial do not meet; pieces of one length up to eight bytes never do."""
+    length = (ends - starts).astype(np.int64)
+    out = mix(length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
+    who = np.flatnonzero((length > 0) & (length <= LONG_PIECE))
+    at, left = starts[who], length[who]
+    while len(who):
+        out[who] = mix(out[who] ^ (eight[at] & _HEADS[np.minimum(left, 8)])) * np.uint64(BASE)
+        more = np.flatnonzero(left > 8)
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > LONG_PIECE).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(raw: np.ndarray, base: int, end: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word; long texts are taken in parts that begin and end with words."""
     if end - base <= 4 * SLICE_BYTES:
-        prefix = prefix_hash(BYTE_CODE[raw[base:end]])
-        return piece_hash(prefix, starts - base, ends - base)
+        return content_hashes(raw[base:end], starts - base, ends - base)
     out, i = np.zeros(len(starts), np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE_BYTES)))
         low, high = int(starts[i]), int(ends[j - 1])
-        prefix = prefix_hash(BYTE_CODE[raw[low:high]])
-        out[i:j] = piece_hash(prefix, starts[i:j] - low, ends[i:j] - low)
+        out[i:j] = content_hashes(raw[low:high], starts[i:j] - low, ends[i:j] - low)
         i = j
     return out
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` words that begin at each position (the last size-1 positions have none)."""
+    """Hash of the `size` words that begin at each position (the last size-1 positions have none), mixed word by word."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    prefix = prefix_hash(words)
-    at = np.arange(n)
-    return piece_hash(prefix, at, at + size)
+    out = words[:n]
+    for k in range(1, size):
+        out = mix(out) + words[k : k + n]
+    return mix(out + np.uint64(size))
+
+
+#: A prime, and two places at which sequences are evaluated as polynomials modulo it.
+PRIME = (1 << 31) - 1
+PLACES = (1_205_712_277, 735_632_791)
+_PRIME_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, or that plus a little: below 2**32 for x below 2**63."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(x))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+def prime_powers(place: int, n: int, inverse: bool = False) -> np.ndarray:
+    """place**0 .. place**(n-1) modulo PRIME, or those of its inverse."""
+    have = _PRIME_POWERS.get((place, inverse))
+    if have is None or len(have) < n:
+        base = pow(place, -1, PRIME) if inverse else place
+        have, size = np.ones(1, np.uint64), 1
+        while size < n:
+            have = np.concatenate([have, _reduced(have * np.uint64(pow(base, size, PRIME)))])
+            size *= 2
+        if size <= CACHED:
+            _PRIME_POWERS[place, inverse] = have
+    return have[:n]
+
+
+def fingerprint_prefix(codes: np.ndarray) -> np.ndarray:
+    """Prefix sums (2, n+1) for `fingerprints`, one row per place; the places look at different bits of the codes."""
+    out = np.zeros((2, len(codes) + 1), np.uint64)
+    for row, place, shift in zip(out, PLACES, (33, 2), strict=True):
+        np.cumsum(_folded(((codes >> np.uint64(shift)) & np.uint64(PRIME)) * prime_powers(place, len(codes))), out=row[1:])
+    return out
+
+
+def fingerprints(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62-bit Karp-Rabin fingerprint of codes[start:end] modulo a prime at two places: different sequences of L codes agree
+    at one place with a probability of L / 2**31, whatever their structure, and at both with its square."""
+    parts = []
+    for row, place in zip(prefix, PLACES, strict=True):
+        parts.append(_reduced(_reduced(row[ends] - row[starts]) * prime_powers(place, prefix.shape[1], inverse=True)[starts]))
+    return mix(((parts[0] << np.uint64(31)) | parts[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:

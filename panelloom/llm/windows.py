@@ -7,12 +7,15 @@ windows have equal anchors at equal places. The windows of one document that sha
 a *run*, and the units that they cover are the run's *extent*. One record per run is shuffled, by the hash of its
 anchor:
 
-* runs with equal extents (two independent 64-bit hashes) have equal windows, so all but those of the least document
-  are covered outright, however many copies there are;
+* runs with equal extents (by fingerprints that no structure of the texts defeats, see textcore.py) have equal windows, so
+  all but those of the least document are covered outright, however many copies there are;
 * of runs that share the anchor but not the extent, those of each extent's least document are fetched again and their
   windows compared unit by unit.
 
-Nothing is sampled: each window belongs to exactly one run.
+Each window belongs to exactly one run. Anchors in a line that very many texts share have very many extents. A task that
+meets `HOT_EXTENTS` of them deals that anchor's runs by anchor and extent from then on, asks for all that are not covered,
+and sends one marker by the anchor alone, so that the runs which other tasks dealt by the anchor are asked for as well:
+no task gets all runs of such an anchor, and what is compared stays the same.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm import textcore as tc
@@ -31,9 +34,16 @@ from panelloom.llm import textcore as tc
 #: one number; mark: tag and kind. Rows are many, so they are kept narrow; `unpacked` has the parts.
 RUN_SCHEMA = "kh long, eh long, doc long, place long, mark long"
 FIELDS = ["kh", "eh", "doc", "place", "mark"]
-#: Kinds of rows. Runs are RECORD, or COVERED where a smaller document of the same slice has the extent already; the
-#: comparison of runs yields the other kinds.
+#: Kinds of rows. Runs are RECORD, or COVERED where a smaller document of the same batch has the extent already; the
+#: comparison of runs yields REQUEST and CLASS. As its input, MARKER stands for an anchor that other tasks dealt by extent.
 COVERED, REQUEST, CLASS, RECORD = 0, 1, 2, 3
+MARKER = CLASS
+#: Bit of a run that is dealt by anchor and extent.
+HOT = 4
+#: Extents of one anchor in a task beyond which it is hot, and how many anchors a task counts.
+HOT_EXTENTS, COUNTED = 8, 1 << 16
+#: The extent of markers; no run has it.
+NO_EXTENT = np.iinfo(np.int64).min
 #: Windows of one text handled at once.
 SEGMENT = 1 << 18
 
@@ -69,79 +79,113 @@ def unpacked(rows: DataFrame) -> DataFrame:
         "kh",
         "eh",
         "doc",
-        F.shiftright("mark", 2).cast("int").alias("tag"),
+        F.shiftright("mark", 3).cast("int").alias("tag"),
         F.shiftright("place", 24).cast("int").alias("s"),
         F.shiftright("place", 12).bitwiseAND(low).cast("int").alias("nw"),
         F.col("place").bitwiseAND(low).cast("int").alias("off"),
     )
 
 
-def usable(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tag, text). tag tells rows of one id with different texts apart; it is 0 where ids are unique."""
-    own = frame.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+def usable(frame: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, tag, text, __k0, ... of the columns `keep`). tag tells rows of one id with different texts apart; it is 0 where
+    ids are unique."""
+    own = frame.select(
+        F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep))
+    )
     repeated = own.where("doc is not null").groupBy("doc").count().where("count > 1").limit(1).count() > 0
-    tag = (F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int") if repeated else F.lit(0)
-    return own.select("doc", tag.alias("tag"), "text")
+    tag = _tags(own) if repeated else own.withColumn("tag", F.lit(0))
+    return tag.select("doc", "tag", "text", *(f"__k{i}" for i in range(len(keep))))
+
+
+def _tags(own: DataFrame) -> DataFrame:
+    """Rows of one id get a tag by their text: the number of its hash among the id's."""
+    hashed = own.withColumn("__h", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    several = hashed.where("doc is not null").select("doc", "__h").distinct()
+    several = several.join(several.groupBy("doc").count().where("count > 1").select("doc"), "doc", "left_semi")
+    numbered = several.withColumn("tag", F.row_number().over(Window.partitionBy("doc").orderBy("__h")) - 1)
+    return hashed.join(numbered, ["doc", "__h"], "left").withColumn("tag", F.coalesce("tag", F.lit(0)))
 
 
 def runs(docs: DataFrame, units: Units) -> DataFrame:
-    """A record for each run of windows with one anchor."""
+    """A record for each run of windows with one anchor, and markers of hot anchors."""
     width = units.window - units.anchor + 1
 
+    def cut(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
+        """(anchor, extent, row, first window, windows, anchor's place) of the runs of rows lying back to back."""
+        codes, bounds = units.codes(raw, off)
+        for at in range(0, max(0, len(codes) - units.window + 1), SEGMENT):
+            part = codes[at : at + SEGMENT + units.window - 1]
+            prefix = tc.prefix_hash(part if units.words else tc.BYTE_CODE[part])
+            grams = tc.gram_hashes(prefix, units.anchor)
+            anchor = tc.leftmost_minima(grams, width)
+            start = np.arange(len(anchor))
+            row = np.searchsorted(bounds, start + at, side="right") - 1
+            inside = start + at + units.window <= bounds[row + 1]
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (inside[1:] != inside[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(anchor))
+            first, last = first[inside[first]], last[inside[first]]
+            whose, ends = row[first], last - 1 + units.window
+            extent = tc.fingerprints(tc.fingerprint_prefix(part), first, ends) if units.words else tc.content_hashes(part, first, ends)
+            yield grams[anchor[first]], extent, whose, first + at - bounds[whose], last - first, anchor[first] - first
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = HotAnchors()
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw, off = tc.string_buffers(batch.column(2))
-            for lo, hi in tc.row_slices(off):
-                codes, bounds = units.codes(raw, off[lo : hi + 1])
-                parts = []
-                for at in range(0, max(0, len(codes) - units.window + 1), SEGMENT):
-                    part = codes[at : at + SEGMENT + units.window - 1]
-                    part = part if units.words else tc.BYTE_CODE[part]
-                    prefix = tc.prefix_hash(part)
-                    spot = np.arange(len(part) - units.anchor + 1)
-                    grams = tc.piece_hash(prefix, spot, spot + units.anchor)
-                    anchor = tc.leftmost_minima(grams, width)
-                    start = np.arange(len(anchor))
-                    row = np.searchsorted(bounds, start + at, side="right") - 1
-                    inside = start + at + units.window <= bounds[row + 1]
-                    cut = np.ones(len(anchor), bool)
-                    cut[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (inside[1:] != inside[:-1])
-                    first = np.flatnonzero(cut)
-                    last = np.append(first[1:], len(anchor))
-                    first, last = first[inside[first]], last[inside[first]]
-                    whose = row[first]
-                    extent = tc.piece_hash(prefix, first, last - 1 + units.window, seed=1)
-                    parts.append((grams[anchor[first]], extent, lo + whose, first + at - bounds[whose], last - first, anchor[first] - first))
-                if not parts:
-                    continue
-                kh, eh, row, s, nw, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-                if len(kh):
-                    doc = ids[row]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(kh.view(np.int64)),
-                            pa.array(eh.view(np.int64)),
-                            pa.array(doc),
-                            pa.array((s << 24) | (nw << 12) | o),
-                            pa.array(tags[row].astype(np.int64) * 4 + np.where(_covered_here(kh, eh, doc), COVERED, RECORD)),
-                        ],
-                        names=FIELDS,
-                    )
-
-    return docs.where("doc is not null and text is not null").mapInArrow(scan, RUN_SCHEMA)
-
-
-def _covered_here(kh: np.ndarray, eh: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Runs whose extent a smaller document among these has: what very many texts share is not shuffled by its hash."""
-    order = np.lexsort((doc, eh, kh))
-    kh, eh = kh[order], eh[order]
-    new = np.ones(len(kh), bool)
-    new[1:] = (kh[1:] != kh[:-1]) | (eh[1:] != eh[:-1])
-    least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(kh), bool)
-    out[order] = doc[order] > least
-    return out
+            parts = [(kh, eh, lo + row, *rest) for lo, hi in tc.row_slices(off) for kh, eh, row, *rest in cut(raw, off[lo : hi + 1])]
+            if not parts:
+                continue
+            kh, eh, row, s, nw, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+            kh, eh, doc = kh.view(np.int64), eh.view(np.int64), ids[row]
+            eh = np.where(eh == NO_EXTENT, NO_EXTENT + 1, eh)
+            covered, hot, fresh = counted.judge(kh, eh, doc)
+            columns = [kh, eh, doc, (s << 24) | (nw << 12) | o, tags[row].astype(np.int64) * 8 + np.where(covered, COVERED, RECORD) + np.where(hot, HOT, 0)]
+            if len(fresh):
+                markers = [fresh, np.full(len(fresh), NO_EXTENT), np.full(len(fresh), NO_EXTENT), np.zeros(len(fresh), np.int64), np.full(len(fresh), MARKER)]
+                columns = [np.concatenate(x) for x in zip(columns, markers, strict=True)]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=FIELDS)
+
+    return tc.mapped(docs.where("doc is not null and text is not null"), scan, RUN_SCHEMA)
+
+
+class HotAnchors:
+    """What a task has seen of anchors with several extents."""
+
+    def __init__(self):
+        self.keys, self.extents = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def judge(self, kh: np.ndarray, eh: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(covered, hot, anchors that became hot): runs whose extent a smaller document of the batch has, so that what
+        very many texts share is not shuffled by its hash; and runs of hot anchors."""
+        order = np.lexsort((doc, eh, kh))
+        k, e, d = kh[order], eh[order], doc[order]
+        new_k = np.ones(len(k), bool)
+        new_k[1:] = k[1:] != k[:-1]
+        new = new_k.copy()
+        new[1:] |= e[1:] != e[:-1]
+        covered = np.empty(len(k), bool)
+        covered[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+        at = np.flatnonzero(new_k)
+        own, several = k[at], np.add.reduceat(new, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
+        seen = np.where(self.keys[place] == own, self.extents[place], 0) if len(self.keys) else np.zeros(len(own), np.int64)
+        total = seen + several
+        hot_key = total >= HOT_EXTENTS
+        fresh = own[hot_key & (seen < HOT_EXTENTS)]
+        hot = np.empty(len(k), bool)
+        hot[order] = hot_key[np.cumsum(new_k) - 1]
+        keep = (several > 1) | (seen > 0)
+        keys, extents = np.concatenate([own[keep], self.keys]), np.concatenate([total[keep], self.extents])
+        self.keys, first = np.unique(keys, return_index=True)  # of a key seen before, the new total comes first
+        self.extents = extents[first]
+        if len(self.keys) > COUNTED:
+            most = np.sort(np.argpartition(self.extents, -COUNTED)[-COUNTED:])
+            self.keys, self.extents = self.keys[most], self.extents[most]
+        return covered, hot, fresh
 
 
 def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
@@ -156,13 +200,15 @@ def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
         several = False  # whether the current anchor has shown a second extent
         held: list[pa.RecordBatch] = []  # runs of the current anchor's first extent and least document
         for batch in batches:
-            passed = batch.column(4).to_numpy() & 3 == COVERED
+            mark = batch.column(4).to_numpy()
+            passed = mark & 3 == COVERED
             if passed.any():
                 yield _with_kind(batch, passed, COVERED)
                 batch = batch.filter(pa.array(~passed))
             if not batch.num_rows:
                 continue
-            kh, eh, doc = (batch.column(i).to_numpy() for i in range(3))
+            kh, eh, doc, _, mark = (x.to_numpy() for x in batch.columns)
+            run, hot = mark & 3 != MARKER, mark & HOT > 0
             n = len(kh)
             new_k = np.ones(n, bool)
             new_k[1:] = kh[1:] != kh[:-1]
@@ -176,7 +222,7 @@ def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
             class_of = np.cumsum(new_e) - 1  # -1: goes on with the extent of the batch before
             k_of = np.cumsum(new_k) - 1
             least = np.where(class_of >= 0, doc[class_at[np.maximum(class_of, 0)]] if len(class_at) else 0, last[2] if last else 0)
-            covered = doc > least
+            covered = (doc > least) & run
             per_k = np.bincount(k_of[class_at] + 1, minlength=len(k_at) + 1)  # extents that begin here, by anchor
             multi = per_k > 1
             multi[0] = several or per_k[0] > 0
@@ -185,16 +231,16 @@ def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
                 held = []
             elif len(k_at):
                 held = []
-            ask = ~covered & multi[k_of + 1]
+            ask = ~covered & run & (multi[k_of + 1] | hot)
             if len(k_at):  # the last anchor may go on in the next batch
                 several = bool(multi[-1])
             else:
                 several = bool(multi[0])
-            tail = ~covered & ~multi[k_of + 1] & (k_of == k_of[-1])
+            tail = ~covered & run & ~hot & ~multi[k_of + 1] & (k_of == k_of[-1])
             kinds = [(covered, COVERED), (ask, REQUEST)]
             if first_new is not None:
                 head = np.zeros(n, bool)
-                head[class_at] = doc[class_at] >= first_new
+                head[class_at] = (doc[class_at] >= first_new) & run[class_at]
                 kinds.append((head, CLASS))
             for mask, kind in kinds:
                 if mask.any():
@@ -203,9 +249,10 @@ def compare_runs(records: DataFrame, first_new: int | None = None) -> DataFrame:
                 held.append(_with_kind(batch, tail, REQUEST))
             last = (kh[-1], eh[-1], least[-1])
 
-    route = F.when(kind() == COVERED, F.xxhash64("doc", "place")).otherwise(F.col("kh"))
+    by_extent = F.col("mark").bitwiseAND(F.lit(HOT).cast("long")) > 0
+    route = F.when(kind() == COVERED, F.xxhash64("doc", "place")).when(by_extent, F.xxhash64("kh", "eh")).otherwise(F.col("kh"))
     dealt = records.select(*FIELDS).repartition(route).sortWithinPartitions("kh", "eh", "doc", "mark", "place")
-    return dealt.mapInArrow(scan, RUN_SCHEMA)
+    return tc.mapped(dealt, scan, RUN_SCHEMA)
 
 
 def _with_kind(batch: pa.RecordBatch, mask: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -258,7 +305,7 @@ def extents(docs: DataFrame, requests: DataFrame, units: Units) -> DataFrame:
                     names=["kh", "eh", "doc", "tag", "s", "nw", "off", "ext"],
                 )
 
-    return joined.mapInArrow(cut, "kh long, eh long, doc long, tag int, s int, nw int, off int, ext binary")
+    return tc.mapped(joined, cut, "kh long, eh long, doc long, tag int, s int, nw int, off int, ext binary")
 
 
 #: Compares the windows of runs with one anchor. Gets extents, doc, kh, eh, nw and off of runs sorted by kh and eh; yields
@@ -272,8 +319,7 @@ def matched_windows(found: DataFrame, matcher: Matcher, units: Units, most: int
     Groups of up to `most` runs per anchor go to `matcher` whole. Beyond, each window becomes a row and is compared
     with the equal windows only, by hash and then by content, so no group of unbounded size meets in one task.
     """
-    sizes = found.groupBy("kh").agg(F.count("*").alias("n"))
-    sized = found.join(sizes, "kh")
+    crowded = found.groupBy("kh").agg(F.count("*").alias("n")).where(F.col("n") > most).select("kh")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -290,8 +336,8 @@ def matched_windows(found: DataFrame, matcher: Matcher, units: Units, most: int
             yield from _block(held, matcher, units)
 
     fields = ["kh", "eh", "doc", "tag", "s", "nw", "off", "ext"]
-    small = sized.where(F.col("n") <= most).select(*fields).repartition("kh").sortWithinPartitions("kh", "eh", "doc")
-    spans = small.mapInArrow(blocks, "doc long, tag int, s int, e int")
+    small = found.join(crowded, "kh", "left_anti").select(*fields).repartition("kh").sortWithinPartitions("kh", "eh", "doc")
+    spans = tc.mapped(small, blocks, "doc long, tag int, s int, e int")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,8 +349,8 @@ def matched_windows(found: DataFrame, matcher: Matcher, units: Units, most: int
                     names=["w", "doc", "tag", "s"],
                 )
 
-    large = sized.where(F.col("n") > most).select(*fields).mapInArrow(explode, "w binary, doc long, tag int, s int")
-    least = large.groupBy("w").agg(F.min("doc").alias("least"))
+    large = tc.mapped(found.join(crowded, "kh", "left_semi").select(*fields), explode, "w binary, doc long, tag int, s int")
+    least = large.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").drop("last")
     hot = large.join(least, "w").where("doc > least").select("doc", "tag", "s", (F.col("s") + units.window).alias("e"))
     return spans.unionByName(hot)
 
@@ -349,9 +395,9 @@ def covered_spans(found: DataFrame, units: Units) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Documents with the list of their spans (null: none)."""
+    """(doc, tag, text, spans, what else docs has): documents with the list of their spans (null: none)."""
     listed = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return docs.join(listed, ["doc", "tag"], "left").select("doc", "tag", "text", "spans")
+    return docs.join(listed, ["doc", "tag"], "left").select("doc", "tag", "text", "spans", *docs.columns[3:])
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
