@@ -1,29 +1,33 @@
 """N-gram Jaccard self-join by size-banded tiles with hashed bitmap signatures: op2.
 
-1. Each text becomes its set of word n-grams (64-bit hashes, sorted). Equal sets (two independent 64-bit sums over the
-   set) form one class; from then on one member, that of the least id, stands for it.
+1. Each text becomes its set of word n-grams (64-bit hashes, sorted; see textcore.py for why texts built to collide do
+   not). Sets of equal size and equal sums of two hashes of their n-grams form one class; from then on one member, that
+   of the least id, stands for it.
 2. A fixed table of counters, indexed by hash bits, orders the n-grams from rare to frequent. Two sets of the wanted
-   similarity share an n-gram among the first (1 - t) * size + 1 of each, so a class enters one tile for each of these:
+   similarity share an n-gram among the first (1 - t) * size + 1 of each, so a class enters tiles for each of these only:
    passages that many texts share come last in the order and make no tiles.
-3. Within a tile, classes are sorted by size; only pairs whose sizes allow the similarity are looked at, and of those
-   only pairs whose bitmap signatures leave it possible: every bit that differs is an n-gram in one set only, so the
-   bit count bounds the overlap from above.
+3. Sizes fall into bands so wide that two sets of the wanted similarity are in one band or in neighbours. A tile is a
+   token and a band: it holds the token's classes of that band, and those of the band below as partners for these.
+   Within a tile only pairs whose bitmap signatures leave the similarity possible go on: every bit that differs is an
+   n-gram in one set only, so the bit count bounds the overlap from above.
 4. What remains is decided by intersecting the sorted hash arrays.
 
 Tiles first yield a spanning forest of their possible links, of the highest bounds, not all pairs; what these links
 connect needs no further look. A second pass over the tiles that still hold several components tests every pair of
-different components that a longer signature leaves possible. Tiles of more
-than `TILE` classes are dealt out in blocks: first within blocks, then over one class per component, last over pairs
-of blocks. So no link between components is lost, and a group of copies costs a number of tests in proportion to it.
+different components that a longer signature leaves possible. Tiles of more than `TILE` classes are dealt out in
+blocks by hash: first within blocks, then one class per component in blocks dealt anew, last pairs of blocks. So no link
+between components is lost, and a group of copies costs a number of tests in proportion to it. A token that the counters
+call frequent is dealt by token and class from the start, so that no task gets all its rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.llm import textcore as tc
@@ -34,6 +38,8 @@ SKETCH_BITS = 18
 #: 64-bit words of a signature, and of its folded form for the first pass.
 SIGNATURE_WORDS, FOLDED = 32, 8
 TILE = 4096
+#: Occurrences by the counters up to which no token is dealt out in parts.
+FREQUENT = 1024
 
 
 def _sets(raw: np.ndarray, off: np.ndarray, n: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +54,11 @@ def _sets(raw: np.ndarray, off: np.ndarray, n: int, lower: bool) -> tuple[np.nda
     whole = np.arange(len(grams)) + n <= first[row + 1]
     grams, row = grams[whole], row[whole]
     count = np.diff(first)
-    short = np.flatnonzero((count > 0) & (count < n))
-    if len(short):
-        alone = tc.piece_hash(tc.prefix_hash(words), first[short], first[short + 1])
-        grams, row = np.concatenate([grams, alone]), np.concatenate([row, short])
+    for k in range(1, n):  # texts of fewer words: all of them
+        short = np.flatnonzero(count == k)
+        if len(short):
+            alone = tc.shingle_hashes(words, k)[first[short]]
+            grams, row = np.concatenate([grams, alone]), np.concatenate([row, short])
     order = np.lexsort((grams, row))
     grams, row = grams[order], row[order]
     new = np.ones(len(grams), bool)
@@ -101,7 +108,7 @@ def _profile(docs: DataFrame, n: int, lower: bool) -> DataFrame:
             packed = [pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays([none, none, zero, zero, zero, *packed], names=names)
 
-    return docs.mapInArrow(scan, "node long, doc long, n long, h1 long, h2 long, sig binary, long_sig binary")
+    return tc.mapped(docs, scan, "node long, doc long, n long, h1 long, h2 long, sig binary, long_sig binary")
 
 
 def _long_signatures(grams: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -138,31 +145,46 @@ def _frequencies(profile: DataFrame) -> np.ndarray:
                 total[np.frombuffer(at, np.int32)] += np.frombuffer(counts, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sig"])
 
-    parts = profile.where("node is null").select("sig", "long_sig").repartition(8).mapInArrow(add, "sig binary").collect()
+    parts = profile.where("node is null").select("sig", "long_sig").repartition(8)
+    parts = tc.mapped(parts, add, "sig binary").collect()
     return sum((np.frombuffer(bytes(r["sig"]), np.int64) for r in parts), np.zeros(1 << SKETCH_BITS, np.int64))
 
 
 def _tiles(docs: DataFrame, n: int, lower: bool, num: int, den: int, order: np.ndarray) -> DataFrame:
-    """(token, node, n) of the tiles with two classes or more."""
+    """(token, node, n): the classes of each token that two classes or more may share."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
+    frequent = max(FREQUENT, int(16 * order.mean()))  # far more than what tokens have that meet in a counter by chance
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_numpy()
             raw, off = tc.string_buffers(batch.column(2))
+            seen: set[tuple] = set()  # classes of this batch: of its copies the least node is enough
             for lo, hi in tc.row_slices(off):
                 grams, row = _sets(raw, off[lo : hi + 1], n, lower)
                 size = np.bincount(row, minlength=hi - lo)
                 h1 = _sums(tc.mix(grams), row, hi - lo).view(np.int64)
+                first = np.concatenate([[0], np.cumsum(size)])
+                new = np.zeros(hi - lo, bool)
+                for i in np.argsort(nodes[lo:hi], kind="stable").tolist():
+                    key = (int(size[i]), int(h1[i]))
+                    if key not in seen:
+                        seen.add(key)
+                        new[i] = True
+                own = new[row]
+                grams, row = grams[own], row[own]
                 often = shared.value[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 by = np.lexsort((grams, often, row))
-                grams, row = grams[by], row[by]
-                first = np.concatenate([[0], np.cumsum(size)])
-                keep = np.arange(len(grams)) - first[row] < (size - -(-size * num // den) + 1)[row]
-                grams, row = grams[keep], row[keep]
+                grams, row, often = grams[by], row[by], often[by]
+                begin = np.searchsorted(row, np.arange(hi - lo))
+                keep = np.arange(len(grams)) - begin[row] < (size - -(-size * num // den) + 1)[row]
+                keep &= often > 1  # what stands once has no partner
+                grams, row, often = grams[keep], row[keep], often[keep]
+                # frequent ones are dealt by class, in as many parts as they may fill
+                salt = np.where(often > frequent, (h1[row] & 0x7FFFFFFF) % (often // frequent + 1), -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.view(np.int64)), pa.array(h1[row]), pa.array(nodes[lo + row]), pa.array(size[row].astype(np.int32))],
-                    names=["token", "h1", "node", "n"],
+                    [pa.array(grams.view(np.int64)), pa.array(h1[row]), pa.array(nodes[lo + row]), pa.array(size[row].astype(np.int32)), pa.array(salt.astype(np.int32))],
+                    names=["token", "h1", "node", "n", "salt"],
                 )
 
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +192,7 @@ def _tiles(docs: DataFrame, n: int, lower: bool, num: int, den: int, order: np.n
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, h1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            token, h1, salt = (batch.column(i).to_numpy() for i in (0, 1, 4))
             new_t = np.ones(len(token), bool)
             new_t[1:] = token[1:] != token[:-1]
             new_c = new_t.copy()
@@ -183,6 +205,7 @@ def _tiles(docs: DataFrame, n: int, lower: bool, num: int, den: int, order: np.n
             classes = np.bincount(tile[new_c], minlength=tile[-1] + 1)
             many = classes > 1
             many[0] = several or (held is not None and classes[0] > 0)
+            many[tile[salt >= 0]] = True  # other parts may hold its partners
             if many[0] and held is not None:
                 yield held
                 held = None
@@ -200,8 +223,19 @@ def _tiles(docs: DataFrame, n: int, lower: bool, num: int, den: int, order: np.n
         part = batch.filter(pa.array(mask))
         return pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3)], names=["token", "node", "n"])
 
-    rows = docs.mapInArrow(scan, "token long, h1 long, node long, n int")
-    return rows.repartition("token").sortWithinPartitions("token", "h1", "node").mapInArrow(shared_only, "token long, node long, n int")
+    rows = tc.mapped(docs, scan, "token long, h1 long, node long, n int, salt int")
+    dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "h1", "node")
+    return tc.mapped(dealt, shared_only, "token long, node long, n int")
+
+
+def _banded(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Tiles by token and band, with side 3 for classes of the band itself and 1 for partners from the band below.
+
+    A band is a little wider than the greatest ratio of sizes, so that rounding parts no pair."""
+    width = math.log(den / num) * 1.001 if num < den else 1e-9
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
+    places = F.array(F.struct(band.alias("band"), F.lit(3).alias("side")), F.struct((band + 1).alias("band"), F.lit(1).alias("side")))
+    return tiles.select("token", "node", "n", F.explode(places).alias("p")).select("token", "node", "n", "p.band", "p.side")
 
 
 def _possible(n_i: np.ndarray, n_j: np.ndarray, s_i: np.ndarray, s_j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -235,7 +269,8 @@ def _forest(node: np.ndarray, size: np.ndarray, sig: np.ndarray, comp: np.ndarra
 
 def _candidates(tiles: DataFrame, keys: list[str], num: int, den: int, every: bool) -> DataFrame:
     """Distinct (a, b) from tiles of (keys, side, node, n, sig, comp). every: all possible pairs of different
-    components, else a forest. side: pairs are wanted of rows with different bits 1 and 2 only (3: either)."""
+    components, else a forest. side: bits that two rows must have between them to be a wanted pair: 1 and 2 for the band,
+    4 and 8 for the blocks."""
 
     def work(table: pa.Table) -> tuple[list, list]:
         node, size, comp, side = (table.column(c).to_numpy() for c in ("node", "n", "comp", "side"))
@@ -263,7 +298,7 @@ def _candidates(tiles: DataFrame, keys: list[str], num: int, den: int, every: bo
             for k, i in enumerate(rows[:-1]):
                 reach = np.searchsorted(size[rows], size[i] * den // num, side="right")
                 j = rows[k + 1 : reach]
-                j = j[(comp[j] != comp[i]) & ((side[j] | side[i]) == 3)]
+                j = j[(comp[j] != comp[i]) & ((side[j] | side[i]) == 15)]
                 j = j[_possible(size[i], size[j], sig[i], sig[j], num, den)]
                 a.append(np.full(len(j), node[i]))
                 b.append(node[j])
@@ -287,7 +322,7 @@ def _candidates(tiles: DataFrame, keys: list[str], num: int, den: int, every: bo
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, b_), pa.int64()), pa.array(np.maximum(a_, b_), pa.int64())], names=["a", "b"])
 
     dealt = tiles.select(*keys, "side", "node", "n", "sig", "comp").repartition(*keys).sortWithinPartitions(*keys, "node")
-    return dealt.mapInArrow(scan, "a long, b long").distinct()
+    return tc.mapped(dealt, scan, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scratch, n: int, lower: bool, num: int, den: int) -> DataFrame:
@@ -302,7 +337,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scra
     long_ = sizes.select("node", "n", "long_sig").distinct()
     one, two = long_.toDF("a", "na", "sa"), long_.toDF("b", "nb", "sb")
     every = pairs
-    pairs = scratch.save(lambda: every.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(prune, "a long, b long"), "plausible")
+    pairs = scratch.save(lambda: tc.mapped(every.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb"), prune, "a long, b long"), "plausible")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +349,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scra
                 out = [grams[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], names=["node", "grams"])
 
-    sets = scratch.save(lambda: docs.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(arrays, "node long, grams binary"), "sets")
+    sets = scratch.save(lambda: tc.mapped(docs.join(wanted, "node", "left_semi").select("node", "text"), arrays, "node long, grams binary"), "sets")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +363,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scra
 
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(test, "a long, b long")
+    return tc.mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb"), test, "a long, b long")
 
 
 def near_duplicates(
@@ -355,17 +390,20 @@ def near_duplicates(
     order = _frequencies(profile)
     tiles = scratch.save(lambda: _tiles(docs, n, lower, num, den, order), "tiles")
     signatures = sizes.select("node", "sig").distinct()
+    banded = _banded(tiles, num, den)
     # blocks of the few tiles that are too large for one task
-    large = tiles.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > TILE)
-    rank = F.row_number().over(Window.partitionBy("token").orderBy("n", "node"))
-    blocked = tiles.join(large, "token").withColumn("block", F.floor((rank - 1) / TILE).cast("int")).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
+    large = scratch.save(lambda: banded.groupBy("token", "band").agg(F.count("*").alias("m")).where(F.col("m") > TILE), "large")
     has_large = large.limit(1).count() > 0
-    small = tiles.join(large, "token", "left_anti") if has_large else tiles
-    plain = lambda t: t.withColumn("side", F.lit(3)).withColumn("comp", F.col("node"))
-    dealt = plain(small.withColumn("block", F.lit(0)))
+    small, blocked = banded, None
+    if has_large:
+        small = banded.join(large, ["token", "band"], "left_anti")
+        blocked = banded.join(large, ["token", "band"]).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
+        blocked = blocked.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("m")
+    dealt = small.withColumn("block", F.lit(0))
     if has_large:
-        dealt = dealt.unionByName(plain(blocked.drop("m", "blocks")))
-    first = scratch.save(lambda: _candidates(_signed(dealt, signatures, True), ["token", "block"], num, den, every=False), "forest")
+        dealt = dealt.unionByName(blocked.drop("blocks"))
+    dealt = dealt.withColumn("comp", F.col("node"))
+    first = scratch.save(lambda: _candidates(_signed(dealt, signatures, True), ["token", "band", "block"], num, den, every=False), "forest")
     tested = first
     edges = scratch.save(lambda: _verified(first, docs, sizes, scratch, n, lower, num, den), "linked")
     if repeated:
@@ -376,21 +414,29 @@ def near_duplicates(
         edges = edges.unionByName(tied.join(one, "doc").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
     if has_large:
         comp = scratch.save(lambda: components(edges, scratch), "comp")
-        one = F.row_number().over(Window.partitionBy("token", "comp").orderBy("node"))
-        reps = _with_component(blocked, comp).withColumn("k", one).where("k = 1").drop("k", "m", "blocks", "block").withColumn("side", F.lit(3))
-        again = scratch.save(lambda: _candidates(_signed(reps, signatures, True), ["token"], num, den, every=False).join(tested, ["a", "b"], "left_anti"), "forest2")
+        # one class per component and tile, in blocks dealt anew
+        reps = _with_component(blocked, comp).groupBy("token", "band", "comp", "blocks").agg(F.min(F.struct("node", "n")).alias("x"), F.max("side").alias("side"))
+        reps = reps.select("token", "band", "side", "comp", "x.node", "x.n", F.pmod(F.xxhash64("comp", F.lit(1)), "blocks").cast("int").alias("block"))
+        again = scratch.save(
+            lambda: _candidates(_signed(reps, signatures, True), ["token", "band", "block"], num, den, every=False).join(tested, ["a", "b"], "left_anti"), "forest2"
+        )
         more = scratch.save(lambda: _verified(again, docs, sizes, scratch, n, lower, num, den), "linked2")
         edges, tested = edges.unionByName(more), tested.unionByName(again)
     comp = scratch.save(lambda: components(edges, scratch), "comp")
-    rest = _with_component(small, comp).withColumn("side", F.lit(3)).withColumn("pi", F.lit(0)).withColumn("pj", F.lit(0))
+    # the tiles that still hold several components
+    mixed = lambda t: t.join(t.groupBy("token", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "band"), ["token", "band"], "left_semi")
+    rest = mixed(_with_component(small, comp)).withColumn("pi", F.lit(0)).withColumn("pj", F.lit(0))
     if has_large:
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        pairs = _with_component(blocked, comp).withColumn("other", other)
-        side = F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2)
-        pairs = pairs.withColumn("side", side).withColumn("pi", F.least("block", "other")).withColumn("pj", F.greatest("block", "other"))
-        rest = rest.unionByName(pairs.drop("m", "blocks", "block", "other"))
-    mixed = rest.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    final = scratch.save(lambda: _candidates(_signed(rest.join(mixed, "token", "left_semi"), signatures, False), ["token", "pi", "pj"], num, den, every=True).join(tested, ["a", "b"], "left_anti"), "rest")
+        # a row meets each block of its tile once; of a pair of blocks one row of each is wanted, within a block any two
+        pairs = mixed(_with_component(blocked, comp)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        part = F.when(F.col("block") == F.col("other"), F.lit(12)).when(F.col("block") < F.col("other"), F.lit(4)).otherwise(F.lit(8))
+        pairs = pairs.withColumn("side", F.col("side") + part).withColumn("pi", F.least("block", "other")).withColumn("pj", F.greatest("block", "other"))
+        rest = rest.withColumn("side", F.col("side") + 12).unionByName(pairs.drop("blocks", "block", "other"))
+    else:
+        rest = rest.withColumn("side", F.col("side") + 12)
+    final = scratch.save(
+        lambda: _candidates(_signed(rest, signatures, False), ["token", "band", "pi", "pj"], num, den, every=True).join(tested, ["a", "b"], "left_anti"), "rest"
+    )
     more = scratch.save(lambda: _verified(final, docs, sizes, scratch, n, lower, num, den), "linked3")
     if more.limit(1).count():
         comp = scratch.save(lambda: components(edges.unionByName(more), scratch), "comp")
@@ -420,7 +466,7 @@ def _signed(tiles: DataFrame, signatures: DataFrame, folded: bool) -> DataFrame:
             short = np.bitwise_or.reduce(whole, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in short], pa.binary())], names=["node", "sig"])
 
-    return tiles.join(signatures.mapInArrow(fold, "node long, sig binary") if folded else signatures, "node")
+    return tiles.join(tc.mapped(signatures, fold, "node long, sig binary") if folded else signatures, "node")
 
 
 def _with_component(tiles: DataFrame, comp: DataFrame) -> DataFrame:

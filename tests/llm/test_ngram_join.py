@@ -49,6 +49,7 @@ def texts(seed, n, edits):
 @pytest.mark.parametrize(("seed", "n", "edits", "tile", "extra"), [(1, 60, 2, 4096, []), (2, 70, 3, 8, []), (3, 40, 2, 4096, [(3, "one two"), (5, None), (5, "aX bY cZ dX eY fZ")])])
 def test_components(spark, monkeypatch, seed, n, edits, tile, extra):
     monkeypatch.setattr(nj, "TILE", tile)
+    monkeypatch.setattr(nj, "FREQUENT", 4 if tile == 8 else 1024)
     rows = texts(seed, n, edits) + extra
     random.Random(seed).shuffle(rows)
     frame = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)
@@ -76,3 +77,34 @@ def test_rows_of_one_id_with_different_texts(spark):
     frame = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)
     got = nj.near_duplicates(frame).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 5, 80, 100)
+
+
+def test_words_built_to_collide(spark):
+    """Thue-Morse words and their complements: different sets, whatever a polynomial modulo 2**64 says."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} x y z"), (2, f"{two} x y z"), (3, f"{one}  X y z")]
+    got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4, num=85, den=100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    words = [f"{rng.randrange(10**6)}" for _ in range(150_000)]
+    other = list(words)
+    other[10] = "edit"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:70_000])), (4, "x" * 2_000_000)]
+    got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_shingles for r in got}[4] == 1
+
+
+def test_sizes_at_the_edge_of_bands():
+    """Two sizes that allow the similarity are in one band or in neighbours."""
+    import math
+
+    for num, den in ((85, 100), (80, 100), (60, 100), (1, 2)):
+        width = math.log(den / num) * 1.001
+        for a in range(1, 400):
+            b = a * den // num
+            assert math.floor(math.log(b) / width) - math.floor(math.log(a) / width) <= 1
