@@ -6,8 +6,8 @@
    multiset of lengths that fits a sequence. The covering program over all configurations is solved fractionally by
    multiplicative weights: a knapsack dynamic program prices configurations, those near the best price grow together,
    and the weights of the lengths that they cover shrink. The solution is rounded down, and only the residue goes
-   greedily and best fit into sequences, on the histogram. Where best fit alone is within a thousandth of the
-   program's dual bound, it stands. Of the plans the one of the fewest sequences is taken.
+   best fit or greedily into sequences, on the histogram. Of that and of best fit for the whole histogram the plan of
+   the fewer sequences is taken.
 3. Executors number the pieces of each length (counts by length and bucket give offsets, so no task sees all pieces of
    a length) and look up the place of each number.
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.llm import textcore as tc
 from panelloom.runtime import scratch_for, ship_package
 
 #: Texts below this code point tokenize alike in both libraries (tested); the faster one takes them.
@@ -89,7 +90,7 @@ def pieces(frame: DataFrame, id_col: str, text_col: str, capacity: int, vocabula
             yield pa.RecordBatch.from_arrays(arrays[: 6 if with_ids else 5], names=["doc", "piece", "start", "length", "crc", "ids"][: 6 if with_ids else 5])
 
     own = frame.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(scan, "doc long, piece int, start long, length int, crc long" + (", ids array<long>" if with_ids else ""))
+    return tc.mapped(own, scan, "doc long, piece int, start long, length int, crc long" + (", ids array<long>" if with_ids else ""))
 
 
 def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
@@ -174,14 +175,18 @@ def dual_bound(histogram: dict[int, int], price: np.ndarray) -> float:
     return sum(k * float(price[n]) for n, k in histogram.items()) / float(knapsack(price)[0][-1])
 
 
-def fractional(histogram: dict[int, int], capacity: int, gap: float = 0.05, eta: float = 150.0, limit: int = 8000) -> tuple[list[tuple[float, dict[int, int]]], float]:
+def fractional(histogram: dict[int, int], capacity: int, limit: int = 8000) -> tuple[list[tuple[float, dict[int, int]]], float]:
     """([(times, {length: count})], bound): a fractional solution of the covering program over all configurations, full
     or not, and the greatest dual bound met. In each step the known configurations within `gap` of the best price grow
     together, and prices shrink by exp(-eta * coverage); every 40 steps, or when none is that near, the knapsack prices
-    all configurations anew. Ends when every length is covered; after `limit` steps the rest stays uncovered."""
+    all configurations anew, and the best one through each length that lags behind is known from then on. Ends when
+    every length is covered; after `limit` steps the rest stays uncovered. The fewer lengths, the finer the steps: a step
+    costs time in proportion to the lengths, and takes eta to be about 15,000 over their number."""
     lengths = np.array(sorted(histogram), np.int64)
     have = np.array([histogram[int(n)] for n in lengths], float)
     m, rng = len(lengths), np.random.default_rng(0)
+    eta = min(150.0, max(8.0, 15000 / m))
+    gap = 0.05 if eta > 15 else 0.1
     marks = rng.integers(1, 1 << 62, capacity + 1)
     at = np.zeros(capacity + 1, np.int64)
     at[lengths] = np.arange(m)
@@ -203,8 +208,8 @@ def fractional(histogram: dict[int, int], capacity: int, gap: float = 0.05, eta:
                 value[lengths] *= 1 - gap / 2 * rng.random(m)  # other fillings of about the same price
             best, last = knapsack(value)
             top = float(best[capacity])
-            # the best configuration through each length, where it is near the best of all
-            first = lengths[value[lengths] + best[capacity - lengths] >= (1 - gap) * top]
+            # the best configuration through each length that lags behind, where it is near the best of all
+            first = lengths[(value[lengths] + best[capacity - lengths] >= (1 - gap) * top) & (covered <= covered.mean())]
             stop = np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0))
             room, mark, held = stop[capacity - first], marks[first], [(np.arange(len(first)), first)]
             live = np.flatnonzero(room > 0)
@@ -249,29 +254,21 @@ def rounded(solution: list[tuple[float, dict[int, int]]], histogram: dict[int, i
     return done, {n: k for n, k in left.items() if k > 0}
 
 
-def solve(histogram: dict[int, int], capacity: int, near: float = 0.001) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: count}) such that the configurations hold the histogram exactly.
-
-    Best fit stands if it is within `near` of the dual bound of plain shares: no packing then saves more than that.
-    Else the program is solved fractionally and rounded down, and only the residue is packed as it comes."""
+def solve(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """(times, {length: count}) such that the configurations hold the histogram exactly: the program's solution rounded
+    down and its residue, or best fit alone where that takes fewer sequences."""
     left = {n: k for n, k in sorted(histogram.items()) if k > 0}
     whole: list[tuple[int, dict[int, int]]] = []
     if left.get(capacity):
         whole.append((left.pop(capacity), {capacity: 1}))
     if not left:
         return whole
-    value = np.full(capacity + 1, -np.inf)
-    value[list(left)] = np.array(list(left)) / capacity
 
     def sequences(plan: list[tuple[int, dict[int, int]]]) -> int:
         return sum(times for times, _ in plan)
 
-    plain = best_fit(left, capacity)
-    if sequences(plain) <= np.ceil(dual_bound(left, value) * (1 + near) - 1e-6):
-        return whole + plain
-    solution, _ = fractional(left, capacity)
-    done, residue = rounded(solution, left)
-    plans = [plain, greedy(left, capacity), done + greedy(residue, capacity), done + best_fit(residue, capacity)]
+    done, residue = rounded(fractional(left, capacity)[0], left)
+    plans = [done + best_fit(residue, capacity), done + greedy(residue, capacity), best_fit(left, capacity)]
     return whole + min(plans, key=sequences)
 
 
@@ -309,7 +306,8 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[i
 
 
 class _Places:
-    """For the r-th piece of a length: its sequence and offset."""
+    """For the r-th piece of a length: its sequence and offset. A row for each length of each configuration: some tens of
+    bytes times the configurations that the solver came to know, whatever the input."""
 
     def __init__(self, plan: list[tuple[int, dict[int, int]]]):
         rows, base, seen = [], 0, {}
@@ -322,13 +320,15 @@ class _Places:
                 seen[length] = begin + times * k
                 offset += k * length
             base += times
-        table = np.array(sorted(rows), np.int64).reshape(-1, 5)
-        self.length, self.begin, self.each, self.base, self.offset = table.T
-        self.key = self.length * (1 << 48) + self.begin
+        table = np.array(rows, np.int64).reshape(-1, 5)
+        key = table[:, 0] * (1 << 48) + table[:, 1]
+        order = np.argsort(key)
+        self.key, self.base = key[order], table[order, 3]
+        self.each, self.offset = table[order, 2].astype(np.int32), table[order, 4].astype(np.int32)
 
     def of(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.key, length * (1 << 48) + rank, side="right") - 1
-        nth = rank - self.begin[at]
+        nth = rank - (self.key[at] & ((1 << 48) - 1))
         return self.base[at] + nth // self.each[at], self.offset[at] + nth % self.each[at] * length
 
 
@@ -340,16 +340,22 @@ def pack(
     vocabulary: str = "byte_bpe_50k",
     end_id: int = 0,
     with_ids: bool = False,
-    buckets: int = 64,
+    bucket_rows: int = 1 << 18,
 ) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): every piece once, sequences without gaps."""
+    """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): every piece once, sequences without gaps.
+
+    The pieces of a length are numbered in buckets of about `bucket_rows`, however many there are."""
     spark = frame.sparkSession
     ship_package(spark)
     scratch = scratch_for(spark, "packing")
     cut = scratch.save(lambda: pieces(frame, id_col, text_col, capacity, vocabulary, end_id, with_ids), "pieces")
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc", "piece", "crc"), F.lit(buckets)))
+    # at most `capacity` numbers
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    buckets = {n: -(-k // bucket_rows) for n, k in histogram.items() if k > bucket_rows}
+    part = F.pmod(F.xxhash64("doc", "piece", "crc", "start"), F.col("parts"))
+    of_length = F.create_map(*[F.lit(x) for pair in buckets.items() for x in pair])[F.col("length")] if buckets else F.lit(None)
+    cut = cut.withColumn("parts", F.coalesce(of_length, F.lit(1)).cast("long")).withColumn("bucket", part).drop("parts")
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(_Places(solve(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -365,6 +371,6 @@ def pack(
 
     schema = "doc long, piece int, start long, length long, crc long, " + ("ids array<long>, " if with_ids else "") + "sequence_id long, offset long"
     dealt = ranked.select(*[F.col(c).cast("long") if c == "length" else F.col(c) for c in fields], "rank")
-    out = dealt.mapInArrow(place, schema)
+    out = tc.mapped(dealt, place, schema)
     names = [F.col("doc").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset"]
     return out.select(*names, *(["ids"] if with_ids else []))

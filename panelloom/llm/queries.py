@@ -34,7 +34,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.substring_dedup import remove_repeated_words
 
     out = remove_repeated_words(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("left_over"), 256).alias("kept_sha256"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

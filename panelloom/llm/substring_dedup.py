@@ -116,8 +116,8 @@ def remove_repeated_words(
     max_runs: int = 2,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, the columns `keep`, n_words, n_removed, spans, text): each word goes that a `window`-word window covers which
-    also starts in a row of smaller id. spans: the maximal removed runs of words as [start, end); text: the words that
+    """(id, the columns `keep`, n_words, n_removed, spans, left_over): each word goes that a `window`-word window covers which
+    also starts in a row of smaller id. spans: the maximal removed runs of words as [start, end); left_over: the words that
     stay, joined by one space. batches: parts, by id, that the index takes in one after another; any number gives the same
     result."""
     spark = frame.sparkSession
@@ -151,9 +151,9 @@ def remove_repeated_words(
                 removed.append(int((gone[:, 1] - gone[:, 0]).sum()))
                 lists.append(gone.tolist())
             made = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(lists, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], names=["doc", "n_words", "n_removed", "spans", "text", *kept_names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], names=["doc", "n_words", "n_removed", "spans", "left_over", *kept_names])
 
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in whole.schema.fields if f.name in kept_names)
-    out = tc.mapped(wn.with_spans(whole, both), cut, "doc long, n_words long, n_removed long, spans array<array<long>>, text string" + extra)
+    out = tc.mapped(wn.with_spans(whole, both), cut, "doc long, n_words long, n_removed long, spans array<array<long>>, left_over string" + extra)
     own = [F.col(a).alias(b) for a, b in zip(kept_names, keep, strict=True)]
-    return out.select(F.col("doc").alias(id_col), *own, "n_words", "n_removed", "spans", "text")
+    return out.select(F.col("doc").alias(id_col), *own, "n_words", "n_removed", "spans", "left_over")

@@ -41,7 +41,7 @@ def test_round_trip(spark):
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "été", "x1", "中文", "\n"]) for _ in range(rng.choice([1, 5, 40, 300]))), "s") for i in range(60)]
     rows += [(100, None, "s"), (101, "", "s"), (None, "nameless text", "s"), (5, rows[5][1], "s"), (5, rows[5][1], "s"), (102, "<|endoftext|> inside", "s")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, length string").repartition(3)
-    got = pk.pack(frame, capacity=64, with_ids=True, buckets=3).collect()
+    got = pk.pack(frame, capacity=64, with_ids=True, bucket_rows=5).collect()
     places: dict[int, list] = {}
     docs: dict[tuple, list] = {}
     for r in got:
@@ -86,6 +86,7 @@ def test_program_covers(seed):
     lengths = rng.choice(rng.integers(300, 1500, 60), 60000)
     histogram = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True))
     solution, bound = pk.fractional(histogram, 2048)
+    assert sum(t for t, _ in pk.solve(histogram, 2048)) <= sum(t for t, _ in pk.best_fit(histogram, 2048))
     for n, k in histogram.items():
         assert sum(t * g.get(n, 0) for t, g in solution) >= k * (1 - 1e-6)
     assert all(sum(n * k for n, k in g.items()) <= 2048 for _, g in solution)
@@ -105,3 +106,28 @@ def test_added_tokens_are_theirs(spark):
     assert [pk.tokenize(t, "byte_bpe_50k") for t in texts] == wanted
     got = pk.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
     assert {r.doc_id: r.ids for r in got} == {i: [*ids, 0] for i, ids in enumerate(wanted)}
+
+
+def test_program_on_many_lengths():
+    """With 1,700 lengths the program still covers all of them, and its plan needs no more than best fit."""
+    rng = np.random.default_rng(5)
+    lengths = np.clip(rng.lognormal(5.5, 1.1, 150_000).astype(int) + 1, 1, 2047)
+    histogram = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True))
+    solution, bound = pk.fractional(histogram, 2048)
+    covered = dict.fromkeys(histogram, 0.0)
+    for t, g in solution:
+        for n, k in g.items():
+            covered[n] += t * k
+    assert all(covered[n] >= k * (1 - 1e-6) for n, k in histogram.items())
+    assert bound <= sum(t for t, _ in solution) <= 1.05 * bound
+    plan = pk.solve(histogram, 2048)
+    assert bound <= sum(t for t, _ in plan) <= sum(t for t, _ in pk.best_fit(histogram, 2048))
+    assert pk.rounded(solution, histogram)[0]
+
+
+def test_very_long_text(spark):
+    text = "word " * 120_000 + "x" * 50_000
+    rows = pk.pack(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")).collect()
+    own = sorted((r.piece, r.start, r.length) for r in rows if r.doc_id == 1)
+    n = len(pk.tokenize(text, "byte_bpe_50k")) + 1
+    assert sum(x[2] for x in own) == n and all(x[2] == 2048 for x in own[1:]) and [x[0] for x in own] == list(range(len(own)))
