@@ -79,3 +79,43 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run(spark, folder):
     assert {r.doc_id for r in cp.run(spark, folder).collect()} == set(range(40)) - {6, 14}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_repeated_ids(spark, folder):
+    """Rows of one id with unrelated texts both stay, with their own texts; equal rows are one."""
+    long_ = lambda c: " ".join(f"{c}{i}" for i in range(70))
+    rows = [(9, long_("a")), (9, long_("b")), (9, long_("b")), (3, long_("c")), (12, long_("c")), (15, long_("d") + " " + long_("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = cp.near_duplicate(spark, docs, folder).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({(i, t) for i, t in rows if i != 12})
+    twice = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows if i != 12] + [(15, rows[-1][1], "en", "s", 0)], SCHEMA)
+    out = cp.repeated_passages(spark, twice, folder).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted([*rows[:4], (15, long_("d")), (15, long_("d"))])
+
+
+def test_empty_and_extra_columns(spark, folder):
+    none = spark.createDataFrame([], SCHEMA + ", word string, node long, spans string")
+    for k, (name, stage) in enumerate(cp.STAGES):
+        out = stage(spark, none, folder)
+        assert out.count() == 0, name
+        assert k == 4 or out.columns == cp.COLUMNS
+    one = spark.createDataFrame([(1, "the1ing the2ing " * 3000, "en", "s", 0, "w", 5, "x"), (2, None, None, None, None, None, None, None)], SCHEMA + ", doc string, node long, spans string")
+    docs = one
+    for _, stage in cp.STAGES[1:4]:
+        docs = stage(spark, docs, folder)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert {r.doc_id for r in docs.collect()} == {1, 2}
+
+
+def test_unread_results_outlive_the_stages(spark, folder):
+    """A stage drops what the pipeline kept, not what others have yet to read."""
+    from panelloom.llm.substring_dedup import remove_repeated_words
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null")
+    mine = remove_repeated_words(docs)
+    cp.decontaminate(spark, docs, folder).count()
+    cp.language(spark, docs, folder).count()
+    assert mine.count() == docs.count()
