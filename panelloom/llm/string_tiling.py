@@ -1,13 +1,15 @@
 """Benchmark decontamination by greedy string tiling: op8.
 
 Words are lower-cased runs of letters and digits. Documents and benchmark items that share a seed (`seed` words in a
-row; an item of fewer words is its own seed) are compared: running Karp-Rabin finds the longest matches of words not
-yet marked, marks the longest ones that do not overlap, and goes on until none of `seed` words is left. The words of
-an item that its tiles cover, over its words, is the coverage. Tiles may stand in any order in the document, so an item
-whose parts have been moved about is caught.
+row; an item of fewer words is its own seed) are compared: running Karp-Rabin finds the greatest length at which
+unmarked words match, all matches of that length that do not overlap are marked in one sweep over the text, and so on
+until none of `seed` words is left. The words of an item that its tiles cover, over its words, is the coverage. Tiles may
+stand in any order in the document, so an item whose parts have been moved about is caught. No two places are listed as
+a pair: a sweep looks at each place of the text once, and an item of n words takes sqrt(2n) sweeps at most, however often
+words repeat.
 
 The benchmark travels to the executors in parts of at most `part_bytes`; a benchmark beyond that takes more than one
-pass over the documents, never a larger broadcast.
+pass over the documents, each written before the next part is sent, never a larger broadcast.
 
 Defined results: null and empty texts match nothing, on either side; rows with a null id yield results with a null id;
 repeated rows yield each of their results again; `worst_items` takes rows of one id and text as one document; of several items the one of the highest coverage, then of the least item_id, is named;
@@ -20,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm import textcore as tc
-from panelloom.runtime import ship_package
+from panelloom.runtime import scratch_for, ship_package
 
 
 def word_codes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,58 +38,69 @@ def word_codes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(place in item, place in text, words) of the tiles, by running Karp-Rabin over words not yet marked."""
-    n, m = len(item), len(text)
-    free_i, free_t = np.ones(n, bool), np.ones(m, bool)
+    """(place in item, place in text, words) of the tiles: longest first, of equal ones the first in the text, then in the
+    item."""
+    free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
     tiles: list[tuple[int, int, int]] = []
-    search = max(least, min(n, m))
-    while search >= least:
-        matches = _longest(item, text, free_i, free_t, search)
-        longest = max((k for *_, k in matches), default=0)
-        if longest > 2 * search:
-            search = longest
-            continue
-        for i, t, k in sorted(matches, key=lambda x: (-x[2], x[0], x[1])):
-            if free_i[i : i + k].all() and free_t[t : t + k].all():
-                tiles.append((i, t, k))
-                free_i[i : i + k] = False
-                free_t[t : t + k] = False
-        if search == least and not _longest(item, text, free_i, free_t, least):
-            break
-        search = search // 2 if search > 2 * least else least
+    high = min(len(item), len(text))
+    while high >= least and len(_meeting(item, text, free_i, free_t, least)[1]):
+        # the greatest length at which unmarked windows meet: where a longer one does, so do its parts
+        low = least
+        while low < high:
+            middle = min(2 * low, (low + high + 1) // 2)
+            if len(_meeting(item, text, free_i, free_t, middle)[1]):
+                low = middle
+            else:
+                high = middle - 1
+        new = _sweep(item, text, free_i, free_t, low)
+        for i, t in new:
+            free_i[i : i + low] = False
+            free_t[t : t + low] = False
+        tiles += [(i, t, low) for i, t in new]
+        high = low if new else low - 1  # without a tile the hashes met but not the words
     return sorted(tiles)
 
 
-def _longest(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal matches of at least `size` unmarked words: rolling hashes of windows meet, words decide."""
-    wi, wt = _windows(item, free_i, size), _windows(text, free_t, size)
-    if not len(wi[0]) or not len(wt[0]):
-        return []
-    order = np.argsort(wt[1], kind="stable")
-    place, value = wt[0][order], wt[1][order]
-    lo, hi = np.searchsorted(value, wi[1], side="left"), np.searchsorted(value, wi[1], side="right")
-    out, seen = [], set()
-    for i, a, b in zip(wi[0].tolist(), lo.tolist(), hi.tolist(), strict=True):
-        for t in place[a:b].tolist():
-            if i and t and free_i[i - 1] and free_t[t - 1] and item[i - 1] == text[t - 1] and (i - 1, t - 1) in seen:
-                seen.add((i, t))  # inside a match found one word before
-                continue
-            k, most = 0, min(len(item) - i, len(text) - t)
-            while k < most and free_i[i + k] and free_t[t + k] and item[i + k] == text[t + k]:
-                k += 1
-            if k >= size:
-                seen.add((i, t))
-                out.append((i, t, k))
+def _meeting(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, size: int) -> tuple[dict[int, list[int]], np.ndarray, np.ndarray]:
+    """(places in the item by hash, places in the text whose windows have one of these hashes, their hashes)."""
+    (at_i, hash_i), (at_t, hash_t) = _windows(item, free_i, size), _windows(text, free_t, size)
+    hit = np.isin(hash_t, hash_i)
+    places: dict[int, list[int]] = {}
+    if hit.any():
+        for i, h in zip(at_i.tolist()[::-1], hash_i.tolist()[::-1], strict=True):
+            places.setdefault(h, []).append(i)
+    return places, at_t[hit], hash_t[hit]
+
+
+def _sweep(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(place in item, place in text) of equal windows that overlap on neither side, from left to right."""
+    places, at, hashes = _meeting(item, text, free_i, free_t, size)
+    taken = np.zeros(len(item), bool)
+    out, end = [], 0
+    for t, h in zip(at.tolist(), hashes.tolist(), strict=True):
+        own = places.get(h)
+        if t < end or not own:
+            continue
+        while own:  # places that a tile has taken are never free again
+            i = own.pop()
+            if not taken[i] and not taken[i + size - 1]:
+                if (item[i : i + size] == text[t : t + size]).all():
+                    out.append((i, t))
+                    taken[i : i + size] = True
+                    end = t + size
+                else:
+                    own.append(i)
+                break
     return out
 
 
 def _windows(codes: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of `size` unmarked words."""
+    """Starts and rolling hashes of the windows of `size` unmarked words."""
     if len(codes) < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     marked = np.concatenate([[0], np.cumsum(~free)])
     at = np.flatnonzero(marked[size:] == marked[:-size])
-    return at, tc.piece_hash(tc.prefix_hash(codes), at, at + size)
+    return at, tc.gram_hashes(tc.prefix_hash(codes), size)[at]
 
 
 class _Items:
@@ -112,8 +126,7 @@ class _Items:
             self.seeds[k] = keys, [table[h] for h in keys.tolist()]
 
 
-def _compare(docs: DataFrame, items: _Items, threshold: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _compare(docs: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = shared.value
@@ -151,7 +164,7 @@ def _compare(docs: DataFrame, items: _Items, threshold: float) -> DataFrame:
                     names=["doc", "h", "item_id", "coverage", "tiles"],
                 )
 
-    return docs.mapInArrow(scan, "doc long, h long, item_id long, coverage double, tiles array<array<long>>")
+    return tc.mapped(docs, scan, "doc long, h long, item_id long, coverage double, tiles array<array<long>>")
 
 
 def contaminated(
@@ -174,10 +187,15 @@ def contaminated(
     parts = max(1, -(-size // part_bytes))
     docs = frame.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     docs = docs.where("text is not null").withColumn("h", F.xxhash64("text"))
+    scratch = scratch_for(spark, "stringtiling") if parts > 1 else None
     out = None
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).orderBy("i").collect()
-        one = _compare(docs, _Items([r["i"] for r in own], [r["t"] for r in own], seed), threshold)
+        shared = spark.sparkContext.broadcast(_Items([r["i"] for r in own], [r["t"] for r in own], seed))
+        one = _compare(docs, shared, threshold)
+        if scratch:
+            one = scratch.save(lambda one=one: one, "part")
+            shared.destroy()
         out = one if out is None else out.unionByName(one)
     return out.select(F.col("doc").alias(id_col), F.col("h").alias("text_hash"), "item_id", "coverage", "tiles")
 
