@@ -1,9 +1,13 @@
 """License detection by ordered signature rules: op7.
 
-Hundreds of regular expressions come from a table of licences and a list of sentence forms: a tag, an address, a
-grant, a title. Each rule has keywords that a match must hold, and is tried only on texts that hold one (the prefilter),
-a priority by its form, and a score. Of two detections the one whose interval lies within the other's goes, unless its
-priority is higher; of equal intervals the higher priority stays, then the earlier rule.
+Hundreds of regular expressions: addresses, sentences and notices written by hand for one licence or family each, and the
+forms in which a licence is named (a tag, a grant, a title) over a table of names. Each rule has keywords that a match must
+hold, and is tried only on texts that hold them (the prefilter), a priority by its form, and a score. Of two detections the
+one whose interval lies within the other's goes, unless its priority is higher; of equal intervals the higher priority
+stays, then the earlier rule. Weak rules ("all rights reserved" and the like) count only in texts where no other rule does.
+
+A name that could be anything else (mit, isc, zlib) makes a grant only if a licence, a sentence's end or another licence
+follows it; sentences that several licences share name the one by what stands near them.
 
 Base labels are found apart from that: the words of a phrase, standing one after another. They always stay.
 
@@ -85,23 +89,60 @@ NAMES: dict[str, list[str]] = {
     "json": ["json license"],
     "gfdl-1.3": ["gnu free documentation license 1 3", "gfdl 1 3"],
 }
-#: Sentences that stand in one licence only, and addresses.
+#: Sentences of licences and notices that stand in one of them only.
 SENTENCES: dict[str, list[str]] = {
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software"],
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "bsd-3-clause": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse"],
-    "bsd-2-clause": ["redistributions in binary form must reproduce the above copyright notice"],
-    "bsd-4-clause": ["all advertising materials mentioning features or use of this software must display"],
-    "apache-2": ["you may not use this file except in compliance with the license", "you may obtain a copy of the license at"],
-    "gpl-2": ["either version 2 of the license or at your option any later version"],
-    "gpl-3": ["either version 3 of the license or at your option any later version"],
-    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable"],
-    "mpl-2": ["this source code form is subject to the terms of the mozilla public license"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-    "boost-1": ["boost software license version 1 0 august 17th 2003"],
-    "cc0-1": ["has waived all copyright and related or neighboring rights"],
-    "proprietary": ["all rights reserved", "unauthorized copying of this file is strictly prohibited", "for internal use only"],
-    "public-domain": ["this work is in the public domain", "released into the public domain", "dedicated to the public domain"],
+    "apache-2": [
+        "you may not use this file except in compliance with the license",
+        "terms and conditions for use reproduction and distribution",
+        "licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license",
+        "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    ],
+    "mpl-1.1": ["the contents of this file are subject to the mozilla public license version 1 1"],
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license", "if a copy of the mpl was not distributed with this file you can obtain one at"],
+    "epl-1": ["the accompanying program is provided under the terms of this eclipse public license"],
+    "epl-2": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"],
+    "cddl-1": ["the contents of this file are subject to the terms of the common development and distribution license"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary",
+    ],
+    "boost-1": ["boost software license version 1 0 august 17th 2003", "a copy of the software and accompanying documentation covered by this license"],
+    "cc0-1": ["has waived all copyright and related or neighboring rights", "the person who associated a work with this deed has dedicated the work to the public domain"],
+    "cc-by": ["you must give appropriate credit provide a link to the license and indicate if changes were made"],
+    "cc-by-sa": ["if you remix transform or build upon the material you must distribute your contributions under the same license as the original"],
+    "cc-by-nd": ["if you remix transform or build upon the material you may not distribute the modified material"],
+    "cc-by-nc": ["you may not use the material for commercial purposes"],
+    "wtfpl": ["you just do what the fuck you want to"],
+    "artistic-2": ["the intent is that the copyright holder maintains some artistic control over the development of that package"],
+    "ofl-1.1": ["this font software is licensed under the sil open font license", "the font software may be sold as part of a larger software package but no copy"],
+    "psf-2": ["psf is making python available to licensee on an as is basis"],
+    "openssl": ["this product includes software developed by the openssl project for use in the openssl toolkit"],
+    "php-3": ["this product includes php software freely available from"],
+    "json": ["the software shall be used for good not evil"],
+    "sspl-1": ["offering the program as a service includes making the service source code available"],
+    "bsl-1.1": ["the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"],
+    "elastic-2": ["you may not provide the software to third parties as a hosted or managed service"],
+    "postgresql": ["in no event shall the university of california be liable to any party for direct indirect special incidental"],
+    "vim": ["there are no restrictions on distributing unmodified copies of vim"],
+    "gfdl-1.3": ["permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"],
+    "beerware": ["if we meet some day and you think this stuff is worth it you can buy me a beer in return"],
+    "proprietary": ["unauthorized copying of this file via any medium is strictly prohibited", "unauthorized copying of this file is strictly prohibited", "proprietary and confidential"],
+    "public-domain": ["this work is in the public domain", "dedicated to the public domain", "has been placed in the public domain"],
+}
+#: Sentences that also stand beside other licences, and say something only alone.
+WEAK: dict[str, list[str]] = {
+    "proprietary": ["all rights reserved", "for internal use only", "no part of this publication may be reproduced"],
+    "public-domain": ["released into the public domain"],
 }
 ADDRESSES: dict[str, list[str]] = {
     "mit": ["opensource.org/licenses/mit"],
@@ -123,17 +164,28 @@ ADDRESSES: dict[str, list[str]] = {
 }
 GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _BEFORE, _AFTER = rb"(?<![0-9a-z\x80-\xff])", rb"(?![0-9a-z\x80-\xff])"
+#: What follows a licence's name that is nothing else: a licence, a version, the end of a clause or of the text, another one.
+_NAMED = rb"(?=[ \t\r\n]*(?:[.,;:)\]\"'/|&]|$)|" + GAP + rb"(?:style" + GAP + rb")?(?:licen[sc]es?|terms|v?[0-9]|and|or|see|as|by|by the)(?![0-9a-z\x80-\xff]))"
+#: Families of one sentence. The family's name stands within so many bytes before its version clause.
+_GNU = {"gnu general public license": "gpl", "gnu lesser general public license": "lgpl", "gnu library general public license": "lgpl", "gnu affero general public license": "agpl"}
+_VERSIONS = {"1": "1", "2": "2", "2 1": "2.1", "3": "3"}
+_NEAR = 300
+#: A BSD licence is what its clauses are, and all begin alike.
+_BSD_START = "redistributions in binary form must reproduce the above copyright notice"
+_BSD_NAMES, _BSD_ADVERTS = rb"neither" + GAP + rb"the" + GAP + rb"names?" + GAP + rb"of", rb"all" + GAP + rb"advertising" + GAP + rb"materials" + GAP + rb"mentioning"
+_BSD_REACH = 1200
 
 
 @dataclass(frozen=True)
 class Rule:
-    """keywords: a match holds all of these."""
+    """keywords: a match holds all of these. weak: counts only where no other rule does."""
 
     label: str
     pattern: re.Pattern
     keywords: tuple[bytes, ...]
     priority: int
     score: float
+    weak: bool = False
 
 
 def phrase(words: str) -> bytes:
@@ -144,27 +196,49 @@ def _rule(label: str, body: bytes, keywords: tuple[str, ...], priority: int, sco
     return Rule(label, re.compile(_BEFORE + body + _AFTER), tuple(k.encode() for k in keywords), priority, score)
 
 
+def _family_rules() -> list[Rule]:
+    """Version clauses of the GNU licences by the name before them, and BSD licences by their clauses."""
+    out = []
+    for name, short in _GNU.items():
+        for version, label in _VERSIONS.items():
+            if (short, label) in {("gpl", "1"), ("gpl", "2"), ("gpl", "3"), ("lgpl", "2"), ("lgpl", "2.1"), ("lgpl", "3"), ("agpl", "3")}:
+                # no other GNU licence is named between the name and its version
+                between = rb"(?:(?!gnu" + GAP + rb")[\x00-\xff]){0,%d}?" % _NEAR
+                body = phrase(name) + between + rb"version" + GAP + phrase(version) + rb"(?!\.?[0-9])"
+                out.append(_rule(f"{short}-{label}", body, (name.split()[1], "version"), 60, 0.95))
+    start = phrase(_BSD_START)
+    near = rb"(?=[\x00-\xff]{0,%d}?" % _BSD_REACH
+    names, adverts = near + _BSD_NAMES + rb")", near + _BSD_ADVERTS + rb")"
+    not_names, not_adverts = names.replace(b"(?=", b"(?!", 1), adverts.replace(b"(?=", b"(?!", 1)
+    for label, tail in (("bsd-4-clause", adverts), ("bsd-3-clause", not_adverts + names), ("bsd-2-clause", not_adverts + not_names)):
+        out.append(_rule(label, start + tail, ("redistributions", "reproduce"), 80, 0.95))
+    return out
+
+
 def all_rules() -> list[Rule]:
-    """The rules in order: addresses, tags, sentences, grants, titles."""
+    """The rules in order: addresses, tags, sentences, families, grants, titles, weak sentences."""
     out = []
     for label, listed in ADDRESSES.items():
         out += [Rule(label, re.compile(re.escape(a.encode())), (a.encode(),), 90, 1.0) for a in listed]
     for label, names in NAMES.items():
         for name in names:
-            rare = max(name.split(), key=len)
-            out.append(_rule(label, rb"spdx-license-identifier:[ \t]*" + phrase(name), ("spdx", rare), 100, 1.0))
+            out.append(_rule(label, rb"spdx-license-identifier:[ \t]*" + phrase(name), ("spdx", max(name.split(), key=len)), 100, 1.0))
     for label, listed in SENTENCES.items():
-        out += [_rule(label, phrase(s), (max(s.split(), key=len),), 80, 0.95 if label not in ("proprietary", "public-domain") else 0.6) for s in listed]
+        out += [_rule(label, phrase(s), (max(s.split(), key=len),), 80, 0.95) for s in listed]
+    out += _family_rules()
     verbs = rb"(?:licen[sc]ed|released|distributed|available|published|provided)"
     for label, names in NAMES.items():
         for name in names:
             rare = max(name.split(), key=len)
             under = GAP + rb"under" + GAP + rb"(?:the" + GAP + rb")?(?:terms" + GAP + rb"of" + GAP + rb")?(?:the" + GAP + rb"|an?" + GAP + rb")?"
-            out.append(_rule(label, verbs + under + phrase(name), ("under", rare), 70, 0.9))
+            plain = "licen" not in name and not any(c.isdigit() for c in name.split()[-1])
+            out.append(_rule(label, verbs + under + phrase(name) + (_NAMED if plain else b""), ("under", rare), 70, 0.9))
             if "licen" not in name:
                 out.append(_rule(label, phrase(name) + GAP + rb"licen[sc]e", ("licen", rare), 50, 0.7))
-            elif len(name.split()) > 2:
-                out.append(_rule(label, phrase(name), (rare,), 50, 0.7))
+            else:
+                out.append(_rule(label, phrase(name), (rare, "licen"), 50, 0.7))
+    for label, listed in WEAK.items():
+        out += [Rule(label, re.compile(_BEFORE + phrase(s) + _AFTER), (max(s.split(), key=len).encode(),), 10, 0.5, True) for s in listed]
     return out
 
 
@@ -190,7 +264,8 @@ def detections(text: bytes, rules: list[Rule], present: dict[bytes, bool]) -> li
         if all(end < e for priority, end in reach.items() if priority >= rule.priority):
             kept.append((s, e, rule))
         reach[rule.priority] = max(reach.get(rule.priority, 0), e)
-    return kept
+    strong = [x for x in kept if not x[2].weak]
+    return strong or kept
 
 
 def scan_licenses(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None) -> DataFrame:
@@ -203,7 +278,8 @@ def scan_licenses(frame: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rules = all_rules()
         plain = [(re.compile(_BEFORE + phrase(p) + _AFTER), max(p.split(), key=len).encode(), label) for p, label in phrases.items()]
         # a keyword of every rule, so that most texts are done after a few searches
-        gates = tuple(sorted({min(r.keywords, key=lambda k: (k not in (b"licen", b"under", b"spdx"), k)) for r in rules}))
+        common = (b"licen", b"under", b"spdx", b"version", b"reserved")
+        gates = tuple(sorted({min(r.keywords, key=lambda k: (k not in common, k)) for r in rules}))
         for batch in batches:
             raw, off = tc.string_buffers(batch.column(1))
             out: list[list] = [[], [], [], [], [], [], [], []]
@@ -246,4 +322,4 @@ def scan_licenses(frame: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         " spans array<struct<start:long,end:long,label:string>>"
     )
     own = frame.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(scan, schema).withColumnRenamed("doc", id_col)
+    return tc.mapped(own, scan, schema).withColumnRenamed("doc", id_col)

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from panelloom.llm.license_rules import BASE, all_rules, detections, scan_licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -49,3 +51,41 @@ def test_rules():
     assert found("nothing of the kind, submit it under the bridge") == []
     wide = found("all rights reserved " * 2000)
     assert len(wide) == 2000
+
+
+BSD = """Copyright (c) 2001, A. All rights reserved. Redistribution and use in source and binary forms are permitted provided that:
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions in the documentation.
+"""
+GRANT = "the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    (BSD + "THIS SOFTWARE IS PROVIDED AS IS", {"bsd-2-clause"}),
+    (BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse", {"bsd-3-clause"}),
+    (BSD + "3. All advertising materials mentioning features must display this. 4. Neither the name of X may be used", {"bsd-4-clause"}),
+    (GRANT.format("GNU Affero General Public License", 3), {"agpl-3"}),
+    (GRANT.format("GNU Lesser General Public License", "2.1"), {"lgpl-2.1"}),
+    (GRANT.format("GNU General Public License", 2), {"gpl-2"}),
+    ("either version 3 of the contract or any later version", set()),
+    ("It was released under the MIT campus program last year", set()),
+    ("released under the MIT license", {"mit"}),
+    ("It is distributed under MIT.", {"mit"}),
+    ("licensed under MIT and Apache-2.0", {"mit"}),
+    ("published under the ISC board", set()),
+    ("This library uses the Ruby license.", {"ruby"}),
+    ("the JSON license", {"json"}),
+    ("All rights reserved.", {"proprietary"}),
+    ("(c) X. All rights reserved. Licensed under the zlib license", {"zlib"}),
+    ("", set()),
+])
+def test_which_licence(text, labels):
+    found = {r.label for *_, r in detections(text.lower().encode(), all_rules(), {})}
+    assert found == labels
+
+
+def test_very_long_text(spark):
+    text = "gnu general public license " * 20_000 + "neither the name of " * 5000 + "x" * 100_000 + " under the MIT license"
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = scan_licenses(frame).first()
+    assert row.n_base == 1 and "mit" in row.labels.split(",")
