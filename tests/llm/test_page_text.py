@@ -60,3 +60,57 @@ def test_end_tags_of_longer_names(lead):
     """</header> does not end a head that is left open, and so on."""
     found = main_text(f"{lead}<article><p>{LONG}</p><p>{MORE}</p></article>", TREE)
     assert LONG in str(found) and MORE in str(found)
+
+
+LOST = [
+    f"<div class='content sidebar-layout with sidebar'><p>{LONG}</p><p>{MORE}</p></div>",
+    f"<div class='legal'><article><p>{LONG}</p><p>{MORE}</p></article></div>",
+    f"<div id='main' class='content side-by-side'><p>{LONG}</p><p>{MORE}</p></div>",
+    f"<div class='site-search-results main'><p>{LONG}</p><p>{MORE}</p></div>",
+    f"<article><p title='it's'>{LONG}</p><p data-x=\"a>b\">{MORE}</p></article>",
+    f"<body><form id=aspnet><article><p>{LONG}</p><p>{MORE}</p></article></form>",
+]
+
+
+@pytest.mark.parametrize("page", LOST)
+def test_pages_lost_before(page):
+    assert main_text(page, TREE) == f"{LONG}\n{MORE}"
+
+
+def test_single_short_paragraph():
+    assert main_text("<p>eight short words stand in this paragraph here</p>", TREE) == "eight short words stand in this paragraph here"
+
+
+def test_comments_are_no_articles():
+    page = f"<article><p>{LONG}</p></article><div id='comments'><article><p>{MORE}</p></article><article class='comment'><p>{MORE}</p></article></div>"
+    assert main_text(page, TREE) == LONG
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<noscript>", "<select><option>", "<p title='", "<a href=\"", "<!-- ", "<div class=x", "<![CDATA[", "= '"])
+def test_linear_time(piece):
+    import time
+
+    began = time.time()
+    main_text(piece * (1_000_000 // len(piece)), TREE)
+    assert time.time() - began < 20
+
+
+def test_very_long_page(spark):
+    page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    row = extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first()
+    assert row.text == "\n".join([LONG] * 20_000)
+
+
+def test_held_out_pages(spark):
+    """Pages of the larger tables, whose article elements say what the main text is, and the same without these elements."""
+    import html
+    import re
+
+    whole = right = plain = 0
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").limit(300).collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.DOTALL)[1]
+        want = "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]*>?", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)) if x)
+        whole += 1
+        right += main_text(r.html, TREE) == want
+        plain += main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>"), TREE) == want
+    assert right == whole and plain >= 0.9 * whole
