@@ -57,7 +57,7 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    summed = rows.mapInArrow(scan, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2 * BUCKETS rows at most
+    summed = tc.mapped(rows, scan, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2 * BUCKETS rows at most
     out = np.zeros(2 * BUCKETS)
     for r in summed:
         out[r["bucket"]] = r["n"]
@@ -90,7 +90,7 @@ def weights(frame: DataFrame, labels: DataFrame, id_col: str, text_col: str, mos
                 w[lo:hi] = np.bincount(row, weights=model.value[bucket], minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(w)], names=["__id", "n_ngrams", "log_weight"])
 
-    scored = own.mapInArrow(scan, "__id long, n_ngrams long, log_weight double")
+    scored = tc.mapped(own, scan, "__id long, n_ngrams long, log_weight double")
     uniform = (F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     keyed = scored.withColumn("key", F.when(F.col("n_ngrams") > 0, F.col("log_weight") - F.log(-F.log(uniform))))
     return keyed, float(share) if share is not None else 1.0

@@ -72,7 +72,7 @@ def learn(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
     known = frame.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    rows = known.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).mapInArrow(scan, "lang string, bucket int, n long")
+    rows = tc.mapped(known.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")), scan, "lang string, bucket int, n long")
     # at most languages x BUCKETS rows, whatever the input
     summed = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(summed["lang"].unique())
@@ -168,7 +168,7 @@ def predict(
     text = [] if text_col in keep else [F.col(text_col).cast("string").alias("__text")]
     chosen = frame.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names_out], *text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[: len(names_out)]), "lang_pred string", "score double", "proportions map<string,double>"])
-    return chosen.mapInArrow(scan, schema)
+    return tc.mapped(chosen, scan, schema)
 
 
 def identify(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:

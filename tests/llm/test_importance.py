@@ -3,8 +3,13 @@
 import math
 import random
 import re
+from collections import Counter
 
-from panelloom.llm.importance import kth_largest, resample
+import numpy as np
+import pytest
+
+from panelloom.llm import textcore as tc
+from panelloom.llm.importance import BUCKETS, kth_largest, resample
 
 
 def test_kth(spark):
@@ -38,3 +43,45 @@ def test_defined_results(spark):
     assert not {30, 31} & {r.doc_id for r in got}
     assert len(resample(docs, labels.limit(0)).collect()) == 22
     assert resample(docs.limit(0), labels).count() == 0
+
+
+def grams_of(text):
+    """Buckets of a text's words and pairs of words, one word at a time."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    codes = []
+    for w in words:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        codes.append(tc.content_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+    pairs = [tc.mix(tc.shingle_hashes(np.array(codes[i : i + 2], np.uint64), 2) + np.uint64(1))[0] for i in range(len(codes) - 1)]
+    return [int(h) >> 48 for h in codes + pairs]
+
+
+def test_weights_by_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}é" if i % 5 == 0 else f"W{i}" for i in range(60)]
+    rows = [(i, rng.choice([" ", "\n\t"]).join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(70, None), (71, "")]
+    labels = [(i, int(i % 3 == 0), int(i % 6 == 0)) for i in range(40)]
+    target, raw = Counter(), Counter()
+    for i, t in rows:
+        own = grams_of(t)
+        raw.update(own)
+        if any(d == i and q == 1 and x == 0 for d, q, x in labels):
+            target.update(own)
+    p = lambda c, b: math.log((c[b] + 1) / (c.total() + BUCKETS))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in resample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), fraction=1.0).collect()}
+    assert set(got) == {i for i, t in rows if grams_of(t)}
+    for i, t in rows:
+        if i in got:
+            own = grams_of(t)
+            assert got[i].n_ngrams == len(own)
+            assert got[i].log_weight == pytest.approx(sum(p(target, b) - p(raw, b) for b in own), abs=1e-9)
+    keys = sorted((r.key for r in got.values()), reverse=True)
+    half = resample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), fraction=0.5).collect()
+    assert sorted((r.key for r in half), reverse=True) == keys[: math.ceil(0.5 * len(keys))]
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "good words here " * 150_000), (2, "bad " * 10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.n_ngrams for r in resample(docs, labels, fraction=1.0).collect()} == {1: 899_999, 2: 19}

@@ -1,8 +1,13 @@
 """Language mixtures: held-out accuracy on the given tables, and defined results."""
 
+import math
+import random
 import zlib
+from collections import Counter
 
-from panelloom.llm.language_mix import identify
+import pytest
+
+from panelloom.llm.language_mix import BUCKETS, identify
 
 TABLES = "/root/testdata/sf0.01"
 
@@ -33,3 +38,69 @@ def test_defined_results(spark):
     assert len(identify(frame).collect()) == len(rows)
     assert identify(frame.limit(0)).count() == 0
     assert {r.lang_pred for r in identify(frame.withColumn("lang", frame.lang.substr(100, 1)).where("false").unionByName(frame.selectExpr("doc_id", "text", "cast(null as string) lang", "score"))).collect()} == {"und"}
+
+
+def trigrams_of(text):
+    raw = [b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+    letter = [b if 97 <= b <= 122 or b >= 128 else 0 for b in raw]
+    out = []
+    for i, b in enumerate(letter):
+        if b:
+            code = (letter[i - 1] if i else 0) << 16 | b << 8 | (letter[i + 1] if i + 1 < len(letter) else 0)
+            out.append((code * 0x9E3779B1 & 0xFFFFFFFF) >> 17)
+    return Counter(out)
+
+
+def plain_mixture(own, theta, penalty=6.0, rounds=12):
+    """Proportions by plain expectation-maximisation and the set of languages by penalised likelihood."""
+    total = sum(own.values())
+
+    def estimate(allowed):
+        share = {g: 1 / len(allowed) for g in allowed}
+        for _ in range(rounds if len(allowed) > 1 else 1):
+            part = dict.fromkeys(allowed, 0.0)
+            for b, n in own.items():
+                mix = sum(theta[g][b] * share[g] for g in allowed)
+                for g in allowed:
+                    part[g] += n * theta[g][b] * share[g] / mix
+            share = {g: x / total for g, x in part.items()}
+        return share, sum(n * math.log(sum(theta[g][b] * share[g] for g in allowed)) for b, n in own.items())
+
+    begin, _ = estimate(sorted(theta))
+    order = sorted(theta, key=lambda g: (-begin[g], g))
+    best = None
+    for k in range(1, len(order) + 1):
+        share, value = estimate(order[:k])
+        value -= penalty * (k - 1) * math.log(total + 1)
+        if best is not None and value <= best[1]:
+            break
+        best = share, value
+    return best[0]
+
+
+def test_mixtures_by_brute_force(spark):
+    rng = random.Random(4)
+    words = {"en": "the cat and dog of house river with stone was here that".split(), "de": "der hund und die katze des hauses fluß mit stein war hier".split(), "fr": "le chien et la maison été fleuve avec pierre était ici".split()}
+    rows = []
+    for i in range(60):
+        g = ("en", "de", "fr")[i % 3]
+        rows.append((i, " ".join(rng.choice(words[g]) for _ in range(30)), g))
+    for i in range(60, 90):
+        a, b = rng.sample(sorted(words), 2)
+        rows.append((i, " ".join(rng.choice(words[a if rng.random() < 0.6 else b]) for _ in range(rng.randint(1, 60))), None))
+    known = [(i, t, g) for i, t, g in rows if g and zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {g: Counter() for g in words}
+    for _, t, g in known:
+        counts[g].update(trigrams_of(t))
+    theta = {g: {b: (c[b] + 0.01) / (c.total() + 0.01 * BUCKETS) for _, t, _ in rows for b in trigrams_of(t)} for g, c in counts.items()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    for r in identify(frame, keep=("text",)).collect():
+        want = plain_mixture(trigrams_of(r.text), theta)
+        top = max(sorted(want), key=want.get)
+        assert r.lang_pred == top and r.score == pytest.approx(want[top], abs=2e-3)
+
+
+def test_very_long_text(spark):
+    rows = [(0, "the cat and the dog " * 100_000, "en"), (1, "der hund und die katze " * 5, "de"), (3, "the cat", "en"), (4, "hund", "de"), (5, "é" * 500_000, None)]
+    got = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[0] == "en" and got[1] == "de" and got[5] in ("en", "de")
