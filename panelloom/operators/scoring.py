@@ -67,14 +67,15 @@ class PairedScores:
     ids: tuple[str, ...] | None = None
 
     def __post_init__(self) -> None:
-        if not self.macro or len(self.macro) != len(self.micro):
-            raise ValueError("paired scores need as many macro as micro folds")
-        if not all(math.isfinite(v) for v in (*self.macro, *self.micro)):
-            raise ValueError("paired scores must be finite")
-        if not self.scope.strip():
-            raise ValueError("paired scores need a scope")
-        if self.ids is not None and (len(self.ids) != len(self.macro) or len(set(self.ids)) != len(self.ids) or not all(isinstance(i, str) and i.strip() for i in self.ids)):
-            raise ValueError("paired scores need a unique name per fold")
+        names = self.ids if self.ids is not None else tuple(map(str, range(len(self.macro))))
+        wanted = {
+            "as many macro as micro folds, at least one": 0 < len(self.macro) == len(self.micro),
+            "finite values": bool(np.isfinite([*self.macro, *self.micro]).all()),
+            "a scope": bool(self.scope.strip()),
+            "a name of its own for each fold": len(names) == len(self.macro) == len({n for n in names if isinstance(n, str) and n.strip()}),
+        }
+        if missing := [what for what, given in wanted.items() if not given]:
+            raise ValueError("paired scores need " + ", ".join(missing))
 
     @property
     def differences(self) -> tuple[float, ...]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from panelloom.operators.encoders import Encoder
@@ -11,17 +11,60 @@ from panelloom.operators.scoring import MacroScore, ScoreTopologyError
 SCOPE = "candidates supported on every required development fold"
 
 
+Signature = tuple
+
+
+def signature(encoder: Encoder) -> Signature:
+    """What the labels of all rows are decided by."""
+    return encoder.recipe.recipe_id, tuple(encoder.state_map[k] for k in encoder.occupied_raw)
+
+
 @dataclass(frozen=True)
 class Node:
+    """A scored encoder and the scored encoders that led to it."""
+
     encoder: Encoder
     score: MacroScore
-    path: tuple[dict, ...] = ()
+    before: Node | None = None
+
+    @property
+    def rank(self) -> tuple:
+        return self.score.rank_key
+
+    @property
+    def states(self) -> int:
+        return len(self.encoder.labels)
 
     @property
-    def signature(self) -> tuple:
-        """What the labels of all rows are decided by."""
-        e = self.encoder
-        return e.recipe.recipe_id, tuple(e.state_map[k] for k in e.occupied_raw)
+    def path(self) -> list[dict]:
+        return [*(self.before.path if self.before else []), record(self)]
+
+
+class ScoreTable:
+    """Scores by name, each asked for once; the best node of each signature; and what could not be refitted."""
+
+    def __init__(self, score: Callable[[Encoder], MacroScore]):
+        self._score = score
+        self._rows: dict[tuple, MacroScore | ScoreTopologyError] = {}
+        self.best: dict[Signature, Node] = {}
+        self.rejected: dict[Signature, dict] = {}
+
+    def visit(self, encoder: Encoder, before: Node | None = None) -> Node | None:
+        row = self._rows.setdefault((encoder.name, encoder.recipe.recipe_id), None) or self._fill(encoder)
+        if isinstance(row, ScoreTopologyError):
+            return None
+        node, place = Node(encoder, row, before), signature(encoder)
+        self.best[place] = max(self.best.get(place, node), node, key=lambda n: n.rank)
+        return node
+
+    def _fill(self, encoder: Encoder) -> MacroScore | ScoreTopologyError:
+        try:
+            row = self._score(encoder)
+        except ScoreTopologyError as error:
+            row = error
+            self.rejected[signature(encoder)] = {"macro_name": encoder.name, "method": encoder.method, "status": error.status, "comparable": False, "diagnostics": error.diagnostics}
+        self._rows[encoder.name, encoder.recipe.recipe_id] = row
+        return row
 
 
 @dataclass
@@ -61,52 +104,25 @@ def record(node: Node) -> dict:
     }
 
 
+def best_of(nodes: Iterable[Node], most: int | None = None) -> list[Node]:
+    return sorted(nodes, key=lambda n: n.rank, reverse=True)[:most]
+
+
 def search(start: Encoder, score: Callable[[Encoder], MacroScore], n_paths: int = 10, branching_factor: int = 2, min_states: int = 2) -> SearchResult:
-    """Score the start; per level, score all merges of each open path's states, keep each path's best few, then the best
-    paths overall. Whatever was scored may win. A path none of whose merges can be refitted ends there."""
+    """Level by level, from the start's number of states down: nodes of a level give way to their best few merges and
+    compete with these and with all that ended earlier for the places of the beam. Whatever was scored may win."""
     if min(n_paths, branching_factor, min_states) < 1:
         raise ValueError("n_paths, branching_factor and min_states must be 1 or more")
-    rejected: dict[tuple, dict] = {}
-    known: dict[tuple, MacroScore | None] = {}
-
-    def node(encoder: Encoder, path: tuple[dict, ...]) -> Node | None:
-        key = (encoder.name, encoder.recipe.recipe_id)
-        if key not in known:
-            try:
-                known[key] = score(encoder)
-            except ScoreTopologyError as error:
-                known[key] = None
-                signature = (encoder.recipe.recipe_id, tuple(encoder.state_map[k] for k in encoder.occupied_raw))
-                rejected[signature] = {"macro_name": encoder.name, "method": encoder.method, "status": error.status, "comparable": False, "diagnostics": error.diagnostics}
-        if known[key] is None:
-            return None
-        own = Node(encoder, known[key])
-        return Node(encoder, known[key], (*path, record(own)))
-
-    first = node(start, ())
-    if first is None:
-        return SearchResult(start, "no_valid_candidate", None, [], [], list(rejected.values()))
-    key = lambda n: n.score.rank_key
-    sampled = {first.signature: first}
-    ended: set[tuple] = set()
-    frontier = [first]
-    is_open = lambda n: len(n.encoder.labels) > min_states and n.signature not in ended
-    while any(map(is_open, frontier)):
-        grown: list[Node] = []
-        for n in frontier:
-            if not is_open(n):
-                grown.append(n)
-                continue
-            children = [c for c in (node(e, n.path) for e in n.encoder.possible_merges()) if c is not None]
-            for c in children:
-                if c.signature not in sampled or key(c) > key(sampled[c.signature]):
-                    sampled[c.signature] = c
-            if children:
-                grown += sorted(children, key=key, reverse=True)[:branching_factor]
-            else:
-                ended.add(n.signature)
-                grown.append(n)
-        frontier = sorted(grown, key=key, reverse=True)[:n_paths]
-    ordered = sorted(sampled.values(), key=key, reverse=True)
-    paths = [list(n.path) for n in sorted(frontier, key=key, reverse=True)]
-    return SearchResult(start, "partial_topology_rejections" if rejected else "complete", ordered[0], ordered, paths, list(rejected.values()))
+    table = ScoreTable(score)
+    beam = [n for n in [table.visit(start)] if n]
+    for level in range(len(start.labels), min_states, -1):
+        offers: list[Node] = []
+        for node in beam:
+            merges = [m for e in node.encoder.possible_merges() if (m := table.visit(e, node))] if node.states == level else []
+            offers += best_of(merges, branching_factor) or [node]
+        beam = best_of(offers, n_paths)
+    rejected = list(table.rejected.values())
+    if not beam:
+        return SearchResult(start, "no_valid_candidate", None, [], [], rejected)
+    ranked = best_of(table.best.values())
+    return SearchResult(start, "partial_topology_rejections" if rejected else "complete", ranked[0], ranked, [n.path for n in beam], rejected)

@@ -9,9 +9,9 @@ from panelloom.plans.discovery import infer_kinds
 from panelloom.plans.spec import AdjustmentSpec, ColumnSpec, StudySpec, kind_of_type, load_spec
 from panelloom.sources.tables import JsonLines, read_panel_csv, strict_json
 
-SPEC = StudySpec.from_dict({"id_column": "person", "time_column": "week", "outcomes": ["score"], "interventions": ["program"]})
-ROWS = [(1, 1, 0, 10.0), (1, 2, 1, 11.0), (1, 3, 1, 13.0), (2, 1, 0, 8.0), (2, 2, 0, 8.5), (2, 3, 1, 9.0)]
-DDL = "person long, week long, program long, score double"
+SPEC = StudySpec.from_dict({"id_column": "well", "time_column": "day", "outcomes": ["level"], "interventions": ["pump"]})
+ROWS = [(7, 20, 1, -3.25), (7, 21, 0, -2.0), (9, 4, 0, 40.5), (9, 5, 0, 41.75), (9, 9, 1, 39.0), (9, 12, 1, 36.5), (11, 1, 0, 5.0)]
+DDL = "well long, day long, pump long, level double"
 
 
 def long_panel(entities=12, periods=10, lag=1):
@@ -20,14 +20,15 @@ def long_panel(entities=12, periods=10, lag=1):
 
 def test_lead(spark):
     out = build_lagged(spark.createDataFrame(ROWS, DDL), SPEC)
-    assert [r.score__lead1 for r in out.frame.orderBy("person", "week").collect()] == [11.0, 13.0, 8.5, 9.0]
-    assert out.targets == {"score": "score__lead1"}
+    assert [(r.well, r.day, r.level__lead1) for r in out.frame.orderBy("well", "day").collect()] == [(7, 20, -2.0), (9, 4, 41.75), (9, 5, 39.0), (9, 9, 36.5)]
+    assert out.targets == {"level": "level__lead1"}
 
 
 def test_missing_targets_keep_their_rows(spark):
-    rows = [(e, t, 0, None if (e, t) == (0, 4) else float("inf") if (e, t) == (1, 5) else float(t)) for e in range(3) for t in range(8)]
-    out = build_lagged(spark.createDataFrame(rows, DDL), SPEC, lag=2).frame
-    assert out.count() == 18 and out.where("not __target_eligible__score").count() == 2
+    gaps = {(2, 9): None, (4, 12): float("nan"), (4, 15): float("-inf"), (5, 0): None}  # the last one is no row's target
+    rows = [(e, 3 * t, 0, gaps.get((e, 3 * t), float(e - t))) for e in (2, 4, 5, 6) for t in range(7)]
+    out = build_lagged(spark.createDataFrame(rows, DDL), SPEC, lag=3).frame
+    assert out.count() == 16 and out.where("not __target_eligible__level").count() == 3
 
 
 def test_big_integer_times_stay_exact(spark):
@@ -43,10 +44,10 @@ def test_missing_keys_are_errors(spark, rows):
 
 
 def test_validation(spark):
-    s = validate_panel(spark.createDataFrame([*ROWS, (1, 1, 0, 5.0)], DDL), SPEC)
-    assert (s.row_count, s.entity_count, s.duplicate_entity_times, len(s.warnings)) == (7, 2, 1, 1)
+    s = validate_panel(spark.createDataFrame([*ROWS, (9, 5, 1, 0.5), (9, 5, 1, 0.25)], DDL), SPEC)
+    assert (s.row_count, s.entity_count, s.duplicate_entity_times, len(s.warnings)) == (9, 3, 2, 1)
     with pytest.raises(ValueError):
-        validate_panel(spark.createDataFrame([(1, 1)], "person long, week long"), SPEC)
+        validate_panel(spark.createDataFrame([(1, 1)], "well long, day long"), SPEC)
     with pytest.raises(ValueError):
         build_lagged(spark.createDataFrame(ROWS, DDL), SPEC, lag=0)
     with pytest.raises(ValueError):
@@ -56,7 +57,7 @@ def test_validation(spark):
 def test_duplicates_fail_the_plan(spark):
     frame = spark.createDataFrame([(e, t, 0, 1.0) for e in range(4) for t in (1, 1, 2, 3)], DDL)
     with pytest.raises(ValueError, match="target time"):
-        plan_splits(build_lagged(frame, SPEC).frame, "person")
+        plan_splits(build_lagged(frame, SPEC).frame, "well")
 
 
 def test_textual_times(spark):
@@ -181,3 +182,14 @@ def test_sinks(tmp_path):
         sink.write({"a": 1})
     with pytest.raises(FileExistsError):
         JsonLines(tmp_path / "r.jsonl")
+
+
+def test_what_a_spec_reads_and_writes():
+    one = ColumnSpec.parse("x", {"tags": "abc", "type": None, "variable_type": "integer"})
+    assert one.tags == ("abc",) and one.kind == "numeric"
+    assert ColumnSpec("y").to_dict() == {"role": "unknown"} and ColumnSpec.parse("x", one.to_dict()) == one
+    spec = StudySpec.from_dict({"id_column": "i", "time_column": "t", "columns": {"y": "outcome", "z": "outcome"}, "exclude": ["y"]})
+    assert spec.outcome_columns(["y", "z"]) == ["z"] and "adjustment" not in spec.to_dict()
+    assert AdjustmentSpec.parse({"rationale": " because "}) == AdjustmentSpec((), "because")
+    with pytest.raises(ValueError, match="u is an outcome.*v is not allowed"):
+        StudySpec.from_dict({"id_column": "i", "time_column": "t", "outcomes": ["u"], "columns": {"v": {"allowed_as_adjustment": False}}, "adjustment": {"columns": ["u", "v"], "rationale": "x"}})
