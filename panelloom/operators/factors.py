@@ -15,10 +15,13 @@ from panelloom.operators.passes import Batch, Layout, Parts, add, run_pass, tria
 from panelloom.operators.scoring import COMPUTED, GIVEN_SPLITS, MacroScore, PairedScores, ScoreTopologyError, variance_share
 
 TRAIN, TEST = 1, 2
+#: Levels of all categorical columns and splits that factors may have.
+MOST_LEVELS = 20_000
 
 
-def fit_designs(frame: DataFrame, layout: Layout, columns: list[str], kinds: list[dict[str, str]]) -> list[Design]:
-    """Design encoders of the training rows with a target, by split. kinds: column -> kind, by split."""
+def fit_designs(frame: DataFrame, layout: Layout, columns: list[str], kinds: list[dict[str, str]], most_levels: int = MOST_LEVELS) -> list[Design]:
+    """Design encoders of the training rows with a target, by split. kinds: column -> kind, by split. Each level is a column
+    of the factors: more than `most_levels` over all splits are an error, and never come to the driver."""
     fills, _ = medians(frame, layout, finite_target=True)
     numeric = {c: j for j, c in enumerate(layout.numeric)}
     levels: dict[tuple[str, int], list] = {}
@@ -28,8 +31,12 @@ def fit_designs(frame: DataFrame, layout: Layout, columns: list[str], kinds: lis
             own = frame.where((F.col(f"__r{s}") == TRAIN) & F.col("__y").isNotNull()).select(F.lit(c).alias("c"), F.lit(s).alias("s"), F.col(f"__c{j}").alias("v")).distinct()
             pairs = own if pairs is None else pairs.unionByName(own)
     if pairs is not None:
-        for r in pairs.collect():
+        found = pairs.limit(most_levels + 1).collect()
+        for r in found:
             levels.setdefault((r["c"], r["s"]), []).append(r["v"])
+        if len(found) > most_levels:
+            widest = max(levels, key=lambda k: len(levels[k]))[0]
+            raise ValueError(f"more than {most_levels} levels of categorical columns over all splits, most in {widest!r}: exclude it or raise most_levels")
     out = []
     for s in range(layout.splits):
         fill = {c: float(fills[s, numeric[c]]) if c in numeric and np.isfinite(fills[s, numeric[c]]) else 0.0 for c in columns if kinds[s][c] == "numeric"}

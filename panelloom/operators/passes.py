@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from panelloom.runtime import ship_package
@@ -73,6 +74,10 @@ def triangle(block: np.ndarray) -> np.ndarray:
     return r if len(r) == p else np.vstack([r, np.zeros((p - len(r), p))])
 
 
+#: Partial results of a key that are merged at once.
+MERGED = 1024
+
+
 def run_pass(frame: DataFrame, layout: Layout, work: Callable[[Batch], Parts]) -> Parts:
     """Merge work(batch) over all rows."""
     ship_package(frame.sparkSession)
@@ -85,7 +90,8 @@ def run_pass(frame: DataFrame, layout: Layout, work: Callable[[Batch], Parts]) -
                     total[key] = add(key, total[key], value) if key in total else value
         if total:
             keys = [pickle.dumps(k) for k in total]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([pickle.dumps(v) for v in total.values()], pa.binary())], names=["k", "v"])
+            part = pa.array([TaskContext.get().partitionId() // MERGED] * len(keys), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([pickle.dumps(v) for v in total.values()], pa.binary()), part], names=["k", "v", "part"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         key = pickle.loads(group["k"].iloc[0])
@@ -93,11 +99,19 @@ def run_pass(frame: DataFrame, layout: Layout, work: Callable[[Batch], Parts]) -
         for value in sorted(group["v"]):  # one order, however the rows came
             part = pickle.loads(value)
             total = part if total is None else add(key, total, part)
-        return pd.DataFrame({"k": [group["k"].iloc[0]], "v": [pickle.dumps(total)]})
-
-    parts = frame.select(*layout.columns).mapInArrow(scan, "k binary, v binary")
-    merged = parts.groupBy("k").applyInPandas(merge, "k binary, v binary")
-    return {pickle.loads(bytes(r["k"])): pickle.loads(bytes(r["v"])) for r in merged.collect()}
+        return pd.DataFrame({"k": [group["k"].iloc[0]], "v": [pickle.dumps(total)], "part": [group["part"].iloc[0] // MERGED]})
+
+    schema = "k binary, v binary, part int"
+    parts = frame.select(*layout.columns).mapInArrow(scan, schema)
+    # no more than MERGED arrays of a key meet in a task; the driver adds the few that are left
+    merged = parts.groupBy("k", "part").applyInPandas(merge, schema)
+    if int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) > MERGED:
+        merged = merged.groupBy("k", "part").applyInPandas(merge, schema)
+    out: Parts = {}
+    for r in sorted(merged.collect(), key=lambda r: (bytes(r["k"]), r["part"])):
+        key, value = pickle.loads(bytes(r["k"])), pickle.loads(bytes(r["v"]))
+        out[key] = add(key, out[key], value) if key in out else value
+    return out
 
 
 #: Bits per round of a selection by histograms.

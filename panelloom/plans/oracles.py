@@ -53,7 +53,8 @@ def _top_k() -> str:
     union = " UNION ALL ".join(parts)
     return f"""WITH {_MONTHS}, l AS ({union}), g AS (SELECT avg(next_y) AS g, var_pop(next_y) AS v FROM mo),
 s AS (SELECT name, state, count(*) AS n, avg(next_y) AS m FROM l GROUP BY 1, 2)
-SELECT name, count(*) AS states, round(sum(n * (m - g) * (m - g)) / sum(n) / first(v), 8) AS eta2 FROM s, g GROUP BY name ORDER BY sum(n * (m - g) * (m - g)) / sum(n) / first(v) DESC, states DESC, name DESC LIMIT 4"""
+SELECT name, count(*) AS states, round(sum(n * (m - g) * (m - g)) / sum(n) / first(v), 8) AS eta2 FROM s, g GROUP BY name
+ORDER BY 0.25 * sum(n * (m - g) * (m - g)) / sum(n) / first(v) + 0.1 * (1 - ln(count(*)) / ln(sum(n))) DESC, sum(n * (m - g) * (m - g)) / sum(n) / first(v) DESC, states DESC, name DESC LIMIT 4"""
 
 
 def _kmeans() -> str:

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.cells import number
 from panelloom.operators.encoders import COMPOSITE, KMEANS, Encoder, Recipe
-from panelloom.operators.fitting import fit_recipes, list_recipes
+from panelloom.operators.fitting import first_appearance, fit_recipes, list_recipes
 from panelloom.operators.ols import fit_from_factor, held_out_r2
 from panelloom.operators.panel import build_lagged, summary_frame
 from panelloom.operators.passes import Batch, Layout, run_pass, triangle
+from panelloom.operators.scoring import COMPUTED, DECLARED, MacroScore, PairedScores, compression_score, fold_stability, variance_share
 from panelloom.operators.splits import OUTER, SplitPlan, fold_column, plan_splits
 from panelloom.plans.spec import StudySpec
 from panelloom.runtime import scratch_for
@@ -184,9 +185,7 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types renumbered by their first event."""
-    e = event_panel(spark, sf_dir)
-    first = e.groupBy("event_type").agg(F.min("event_id").alias("first_id"))
-    return first.select("event_type", (F.row_number().over(Window.orderBy("first_id")) - 1).cast("long").alias("canonical"))
+    return first_appearance(event_panel(spark, sf_dir), "event_type", "event_id").select("event_type", F.col("canonical").cast("long").alias("canonical")).distinct()
 
 
 # Regression
@@ -257,12 +256,17 @@ def _state_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.withColumn("state", _state(frame, e))
 
 
+def _share(frame: DataFrame, state: str, target: str) -> tuple[float, int, int]:
+    """(between-state share of the target's variance, states, rows): moments of each state, then the library's formula."""
+    states = frame.where(F.col(target).isNotNull()).groupBy(state).agg(F.count(target).alias("n"), F.avg(target).alias("m")).collect()  # a row for each state
+    total = frame.agg(F.var_pop(target).alias("v")).first()["v"]
+    counts, means = np.array([r["n"] for r in states], float), np.array([r["m"] for r in states])
+    return variance_share(counts, means, total), len(states), int(counts.sum())
+
+
 def outcome_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _state_frame(spark, sf_dir)
-    by = f.groupBy("state").agg(F.count("value__lead1").alias("n"), F.avg("value__lead1").alias("m"))
-    total = f.agg(F.var_pop("value__lead1").alias("v"), F.avg("value__lead1").alias("g"))
-    share = F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g"))) / F.sum("n") / F.first("v")
-    return by.crossJoin(F.broadcast(total)).agg(_round(share, 9).alias("eta2"))
+    share, _, _ = _share(_state_frame(spark, sf_dir), "state", "value__lead1")
+    return spark.createDataFrame([(round(share, 9),)], "eta2 double")
 
 
 def validation_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,24 +279,30 @@ def validation_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "fold long, r2 double")
 
 
-def _fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation_specificity(spark, sf_dir)
+def _fold_scores(spark: SparkSession, sf_dir: str) -> list[float]:
+    return [r["r2"] for r in validation_specificity(spark, sf_dir).orderBy("fold").collect()]
+
+
+def _states_and_rows(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    row = _state_frame(spark, sf_dir).agg(F.countDistinct("state").alias("s"), F.count("*").alias("n")).first()
+    return row["s"], row["n"]
 
 
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold_scores(spark, sf_dir).agg(_round(1 / (1 + F.stddev_pop("r2")), 6).alias("stability"))
+    return spark.createDataFrame([(round(fold_stability(_fold_scores(spark, sf_dir)), 6),)], "stability double")
 
 
 def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _state_frame(spark, sf_dir)
-    return f.agg(_round(1 - F.log2(F.countDistinct("state").cast("double")) / F.log2(F.count("*").cast("double")), 9).alias("compression"))
+    return spark.createDataFrame([(round(compression_score(*_states_and_rows(spark, sf_dir)), 9),)], "compression double")
 
 
 def ranking_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _fold_scores(spark, sf_dir).agg(F.avg("r2").alias("m"), F.avg(F.greatest("r2", F.lit(0.0))).alias("s"), F.stddev_pop("r2").alias("d"))
-    c = compression(spark, sf_dir)
-    score = 0.45 * F.greatest("m", F.lit(0.0)) + 0.25 * F.col("s") + 0.2 / (1 + F.col("d")) + 0.1 * F.col("compression")
-    return parts.crossJoin(c).select(_round(score, 6).alias("ranking_score"))
+    """The score of a record: specificity by held-out folds."""
+    folds = tuple(_fold_scores(spark, sf_dir))
+    states, rows = _states_and_rows(spark, sf_dir)
+    held_out = float(np.mean([max(x, 0.0) for x in folds]))
+    record = MacroScore("half", "value", "value__lead1", PairedScores(folds, (0.0,) * len(folds), "inner folds"), COMPUTED, held_out, 0.0, states, rows)
+    return spark.createDataFrame([(round(record.ranking_score, 6),)], "ranking_score double")
 
 
 def residual_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,20 +315,25 @@ def residual_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coarsening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _state_frame(spark, sf_dir)
-    return f.agg(F.countDistinct("k").alias("observed_values"), F.countDistinct("state").alias("macro_states"))
+    """Columns with more values than the state that stands for them."""
+    from panelloom.operators.adjustment import coarsened
+
+    row = _state_frame(spark, sf_dir).agg(F.countDistinct("k").alias("k"), F.countDistinct("state").alias("s")).first()
+    found = coarsened({"states": row["s"]}, {"k": row["k"]}, ["k"])
+    return spark.createDataFrame([(x["observed_values"], x["macro_states"]) for x in found], "observed_values long, macro_states long")
 
 
 def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rank key's order over a few candidates: half and tercile states of several columns."""
+    """The rank key's order over a few candidates: half and tercile states of several columns, by share and compression."""
     f = _suppliers(spark, sf_dir)
     recipes = [r for r in list_recipes(["quantity", "discount", "tax"], 3) if r.kind == "quantile"]
     fitted = _encoders(f, "y__lead1", ["quantity", "discount", "tax"], recipes)
-    states = F.explode(F.array(*[F.struct(F.lit(e.name).alias("name"), _state(f, e).alias("state")) for e in fitted.values()]))
-    long = f.select("y__lead1", states.alias("s")).groupBy("s.name", "s.state").agg(F.count("*").alias("n"), F.avg("y__lead1").alias("m"))
-    g = f.agg(F.avg("y__lead1").alias("g"), F.var_pop("y__lead1").alias("v"))
-    eta = long.crossJoin(F.broadcast(g)).groupBy("name").agg((F.sum(F.col("n") * (F.col("m") - F.col("g")) ** 2) / F.sum("n") / F.first("v")).alias("eta2"), F.count("*").alias("states"))
-    return eta.orderBy(F.desc("eta2"), F.desc("states"), F.desc("name")).limit(4).select("name", "states", _round("eta2", 8).alias("eta2"))
+    records = []
+    for e in fitted.values():
+        share, states, rows = _share(f.select("y__lead1", _state(f, e).alias("state")), "state", "y__lead1")
+        records.append(MacroScore(e.name, "y", "y__lead1", PairedScores((0.0, 0.0), (0.0, 0.0), "none"), DECLARED, None, share, states, rows))
+    best = sorted(records, key=lambda s: s.rank_key, reverse=True)[:4]
+    return spark.createDataFrame([(s.name, s.state_count, round(s.outcome_specificity, 8)) for s in best], "name string, states long, eta2 double")
 
 
 def next_value_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
