@@ -256,7 +256,8 @@ def rounded(solution: list[tuple[float, dict[int, int]]], histogram: dict[int, i
 
 def solve(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """(times, {length: count}) such that the configurations hold the histogram exactly: the program's solution rounded
-    down and its residue, or best fit alone where that takes fewer sequences."""
+    down and its residue best fit, or best fit alone where that takes fewer sequences; and where neither is within a
+    thousandth of the dual bound, the residue is also tried greedily."""
     left = {n: k for n, k in sorted(histogram.items()) if k > 0}
     whole: list[tuple[int, dict[int, int]]] = []
     if left.get(capacity):
@@ -267,8 +268,11 @@ def solve(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     def sequences(plan: list[tuple[int, dict[int, int]]]) -> int:
         return sum(times for times, _ in plan)
 
-    done, residue = rounded(fractional(left, capacity)[0], left)
-    plans = [done + best_fit(residue, capacity), done + greedy(residue, capacity), best_fit(left, capacity)]
+    solution, bound = fractional(left, capacity)
+    done, residue = rounded(solution, left)
+    plans = [done + best_fit(residue, capacity), best_fit(left, capacity)]
+    if min(map(sequences, plans)) > np.ceil(bound * 1.001 - 1e-6):  # else no packing of the residue saves more than a thousandth
+        plans.append(done + greedy(residue, capacity))
     return whole + min(plans, key=sequences)
 
 
