@@ -104,11 +104,11 @@ def treatment_effects(frame: DataFrame, interventions: list[str], target: str, a
     return treatment_records(JointFactor(r, n, design), interventions, target, adjustments, estimand)
 
 
-def polynomial_terms(frame: DataFrame, columns: list[str], degree: int = 2, most: int = 3) -> DataFrame:
-    """Adds products of up to `degree` of the first numeric columns, standardised: a flexible micro baseline."""
+def polynomial_terms(frame: DataFrame, columns: list[str], degree: int = 2, most: int = 3, fitted_on: DataFrame | None = None) -> DataFrame:
+    """Adds products of up to `degree` of the first numeric columns, standardised as in `fitted_on` (the frame itself unless given)."""
     chosen = columns[:most]
     types = {f.name: f.dataType for f in frame.schema.fields}
-    stats = frame.agg(*[x for c in chosen for x in (F.avg(number(c, types[c])).alias(f"a_{c}"), F.stddev_pop(number(c, types[c])).alias(f"d_{c}"))]).first()
+    stats = (fitted_on or frame).agg(*[x for c in chosen for x in (F.avg(number(c, types[c])).alias(f"a_{c}"), F.stddev_pop(number(c, types[c])).alias(f"d_{c}"))]).first()
     z = {c: (number(c, types[c]) - F.lit(stats[f"a_{c}"])) / F.lit(stats[f"d_{c}"] or 1.0) for c in chosen}
     out, made = frame, {(): F.lit(1.0)}
     for _ in range(degree):
@@ -119,6 +119,16 @@ def polynomial_terms(frame: DataFrame, columns: list[str], degree: int = 2, most
     return out
 
 
+def _require_roles(frame: DataFrame, columns: list[str]) -> None:
+    """A caller's splits: each a column of its own that is train, test or null, with rows on both sides."""
+    if len(set(columns)) != len(columns) or set(columns) - set(frame.columns):
+        raise ValueError("split columns must be different columns of the frame")
+    counts = [F.count_if(x).alias(f"{k}:{n}") for k, c in enumerate(columns) for n, x in (("train", F.col(c) == "train"), ("test", F.col(c) == "test"), ("other", ~F.col(c).isin("train", "test")))]
+    found = frame.agg(*counts).first().asDict()
+    if wrong := [c for k, c in enumerate(columns) if not found[f"{k}:train"] or not found[f"{k}:test"] or found[f"{k}:other"]]:
+        raise ValueError(f"splits {wrong} need training rows, test rows and no other role")
+
+
 def score_states(
     frame: DataFrame, recipe: Recipe, outcome: str, target: str, micro: list[str], interventions: list[str], merges: tuple[tuple[int, int], ...] = (), folds: int = 5, position: str | None = None,
     split_columns: list[str] | None = None, paired: PairedScores | None = None, spec: StudySpec | None = None,
@@ -133,6 +143,7 @@ def score_states(
     if outcome not in frame.columns or target not in frame.columns:
         raise ValueError("the frame needs the outcome and the target")
     if split_columns:
+        _require_roles(frame, split_columns)
         roles = [F.when(F.col(c) == "train", TRAIN).when(F.col(c) == "test", TEST).otherwise(0) for c in split_columns]
     elif paired is None:
         if position is None:

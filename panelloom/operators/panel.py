@@ -90,3 +90,19 @@ def build_lagged(frame: DataFrame, spec: StudySpec, outcomes: list[str] | None =
     out = out.withColumns({**later, LEAD_TIME: F.lead("__panel_t", lag).over(order)}).where(F.col(LEAD_TIME).isNotNull())
     checks = {eligible[c]: number(targets[c], frame.schema[c].dataType).isNotNull() for c in chosen}
     return Lagged(out.withColumns(checks), spec.id_column, spec.time_column, lag, targets, eligible)
+
+
+def join_labels(frame: DataFrame, labels: DataFrame, spec: StudySpec, name: str) -> DataFrame:
+    """The frame with a column of labels found by entity and time, whatever rows and order either side has.
+
+    Rows without a label, and an entity and time with two of them, are errors.
+    """
+    if name in frame.columns:
+        raise ValueError(f"the frame already has a column {name!r}")
+    keys = [spec.id_column, spec.time_column]
+    side = labels.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("__labels"), F.first(f"`{name}`").alias(name))
+    out = frame.join(side, keys, "left")
+    bad = out.agg(F.count_if(F.col(f"`{name}`").isNull()).alias("absent"), F.count_if(F.col("__labels") > 1).alias("twice")).first()
+    if bad.absent or bad.twice:
+        raise ValueError(f"{bad.absent} rows have no label, {bad.twice} have more than one")
+    return out.drop("__labels")

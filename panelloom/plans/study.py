@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import json
 import math
+import statistics
+from collections import Counter
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +19,10 @@ from pyspark.sql import types as T
 from panelloom.functions.cells import number
 from panelloom.operators.ols import fit_from_factor
 from panelloom.operators.passes import Batch, Layout, run_pass, triangle
+from panelloom.plans.comparators import COMPARATORS, LABEL, Sides, compare, confounding_coefficients, outer_sides, state_support
 from panelloom.plans.discovery import DiscoveryConfig, discover
 from panelloom.runtime import scratch_for
-from panelloom.sources.generators import CASES, generate
+from panelloom.sources.generators import CASES, Panel, generate
 from panelloom.sources.tables import JsonLines, strict_json
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
@@ -121,6 +127,9 @@ class Profile:
     entities: int = 48
     periods: int = 16
     seed_family: int = 20261002
+    least_state_rows: int = 20
+    least_state_entities: int = 5
+    draws: int = 1999
     config: DiscoveryConfig = field(default_factory=lambda: DiscoveryConfig(max_states=3, paths=2, folds=3, holdout_fraction=0.25, seed=17))
 
     def seeds(self, cell: int) -> list[int]:
@@ -128,35 +137,66 @@ class Profile:
         return [int(s.generate_state(1)[0]) for s in child.spawn(self.panels)]
 
     def digest(self) -> str:
-        text = strict_json([[list(c) for c in self.cells], self.panels, self.entities, self.periods, self.seed_family, str(self.config)])
+        text = strict_json([[list(c) for c in self.cells], self.panels, self.entities, self.periods, self.seed_family, self.least_state_rows, self.least_state_entities, self.draws, str(self.config)])
         return hashlib.sha256(text.encode()).hexdigest()
 
 
 FULL = Profile()
-QUICK = Profile(panels=2, entities=24, periods=12)
+QUICK = Profile(panels=2, entities=24, periods=12, draws=100)
 
 
 def run_trial(spark: SparkSession, case: str, split: str, seed: int, profile: Profile = QUICK) -> dict:
-    """Generate, discover, and record; a failure is a record and is not tried again."""
+    """Generate, discover, compare and record; a failure is a record and is not tried again.
+
+    The holdout figures of the discovery must come out again from models fitted apart from it, within 1e-8.
+    """
     base = {"case": case, "split": split, "seed": seed}
     try:
-        panel = generate(case, profile.entities, profile.periods, seed, profile.config.holdout_fraction)
+        panel = generate(case, profile.entities, profile.periods, seed, profile.config.holdout_fraction, profile.config.seed)
         config = DiscoveryConfig(**{**profile.config.__dict__, "validation_mode": split})
-        frame = scratch_for(spark, "trial").save(lambda: panel.frame(spark), "panel")
+        scratch = scratch_for(spark, "trial")
+        frame = scratch.save(lambda: panel.frame(spark), "panel")
         d = discover(frame, panel.spec, config)
+        outer, best = d["outer_evaluation"], d["top_macros"][0]
+        record = base | {
+            "status": "success" if outer["status"] == "evaluated" else "not_evaluable",
+            "macro_r2": outer["macro_r2"],
+            "micro_r2": outer["micro_r2"],
+            "compression": best["compression"],
+            "selected_family": best["macro_name"].split("|")[0].split(":")[0],
+            "selected_macro": best["macro_name"],
+            "selected_state_count": best["state_count"],
+            "adjusted": {p["intervention"]: p["coefficient"] for p in d["candidate_pathways"]},
+            "rejected_candidates": sum(len(s["rejected_candidates"]) for s in d["searches"]),
+            "failure_reason": None,
+        }
+        if outer["status"] == "evaluated":
+            record |= _comparison(outer_sides(frame, panel.spec, d, scratch, panel.label_frame(spark)), panel, d, profile)
     except (ValueError, ArithmeticError) as error:
         return base | {"status": "failed", "failure_reason": str(error)}
-    outer, best = d["outer_evaluation"], d["top_macros"][0]
-    return base | {
-        "status": "success" if outer["status"] == "evaluated" else "not_evaluable",
-        "macro_r2": outer["macro_r2"],
-        "micro_r2": outer["micro_r2"],
-        "compression": best["compression"],
-        "selected_family": best["macro_name"].split("|")[0].split(":")[0],
-        "selected_state_count": best["state_count"],
-        "adjusted": {p["intervention"]: p["coefficient"] for p in d["candidate_pathways"]},
-        "failure_reason": None,
-    }
+    return record
+
+
+def _comparison(sides: Sides, panel: Panel, document: dict, profile: Profile) -> dict:
+    paired, treatments = compare(sides, document), document["columns"]["interventions"]
+    for ours, theirs in (("selected_macro", "macro_r2"), ("restricted_micro", "micro_r2")):
+        if not math.isclose(paired[ours], document["outer_evaluation"][theirs], rel_tol=1e-8, abs_tol=1e-8):
+            raise ArithmeticError(f"{theirs} does not come out again: {paired[ours]} for {document['outer_evaluation'][theirs]}")
+    support = state_support(sides, panel.spec.id_column)
+    thin = [s["state"] for s in support if s["train_rows"] and (s["train_rows"] < profile.least_state_rows or s["train_entities"] < profile.least_state_entities)]
+    out = {"paired_r2": paired, "oracle_r2": sides.r2([*treatments, *panel.oracle]) if panel.oracle else None}
+    out |= {"support": support, "thin_states": thin, "prespecified_support": state_support(sides, panel.spec.id_column, LABEL)}
+    if treatments and "u" in sides.train.columns:
+        found = confounding_coefficients(sides.train, sides.target, treatments, "u")
+        native = {p["intervention"]: p["coefficient"] for p in document["candidate_pathways"]}
+        for name, value in found["joint_raw_confounder"].items():
+            if not math.isclose(value, native[name], rel_tol=1e-8, abs_tol=1e-8):
+                raise ArithmeticError(f"the coefficient of {name} does not come out again: {value} for {native[name]}")
+        out["confounding"] = found
+        if profile.draws and len(treatments) == 1:
+            low, high, used = cluster_bootstrap_interval(sides.train, panel.spec.id_column, sides.target, treatments[0], ["u"], profile.draws, profile.seed_family)
+            out["cluster_bootstrap"] = {"low": low, "high": high, "draws": used}
+    return out
 
 
 def run_study(spark: SparkSession, profile: Profile, path: str) -> list[dict]:
@@ -171,9 +211,14 @@ def run_study(spark: SparkSession, profile: Profile, path: str) -> list[dict]:
     return out
 
 
-TRIAL = T.StructType(
-    [T.StructField(n, t) for n, t in (("case", T.StringType()), ("split", T.StringType()), ("seed", T.LongType()), ("status", T.StringType()), ("macro_r2", T.DoubleType()), ("micro_r2", T.DoubleType()), ("compression", T.DoubleType()), ("selected_family", T.StringType()))]
-)
+_DOUBLE = T.DoubleType()
+TRIAL = (
+    T.StructType().add("case", T.StringType()).add("split", T.StringType()).add("seed", T.LongType()).add("status", T.StringType())
+    .add("compression", _DOUBLE).add("selected_family", T.StringType()).add("oracle_r2", _DOUBLE).add("thin_states", T.ArrayType(T.StringType()))
+    .add("paired_r2", T.StructType([T.StructField(c, _DOUBLE) for c in COMPARATORS]))
+)
+#: What a summary says of each figure, by suffix.
+_MOMENTS = {"": F.avg, "_n": F.count, "_mc_se": lambda x: F.stddev_samp(x) / F.sqrt(F.count(x))}
 
 
 def summarize_trials(spark: SparkSession, trials: DataFrame, profile: Profile) -> DataFrame:
@@ -187,23 +232,80 @@ def summarize_trials(spark: SparkSession, trials: DataFrame, profile: Profile) -
     if trials.join(planned, ["case", "split", "seed"], "left_anti").limit(1).count():
         raise ValueError("a trial was not planned")
     ok = F.col("status") == "success"
-    diff = F.when(ok, F.col("macro_r2") - F.col("micro_r2"))
+    r2 = {c: F.when(ok, F.col(f"paired_r2.{c}")) for c in COMPARATORS}
+    minus = {f"minus_{c}": r2["selected_macro"] - r2[c] for c in COMPARATORS[1:]}
+    figures = r2 | minus | {"oracle_micro": F.when(ok, F.col("oracle_r2")), "compression": F.when(ok, F.col("compression"))}
     by = planned.join(trials, ["case", "split", "seed"], "left").groupBy("case", "split")
+    families = F.sort_array(F.collect_list(F.when(ok, F.col("selected_family"))))  # at most the cell's planned trials
     return by.agg(
         F.count("*").alias("planned"),
         F.count_if(ok).alias("successes"),
         F.count_if(~F.coalesce(ok, F.lit(False))).alias("failures"),
-        F.avg(F.when(ok, F.col("macro_r2"))).alias("macro_r2"),
-        F.avg(F.when(ok, F.col("micro_r2"))).alias("micro_r2"),
-        F.avg(diff).alias("difference"),
-        (F.stddev_samp(diff) / F.sqrt(F.count(diff))).alias("difference_mc_se"),
-        F.avg(F.when(ok, F.col("compression"))).alias("compression"),
+        F.count_if(ok & (F.size("thin_states") > 0)).alias("thin_support"),
+        *[f(x).alias(name + suffix) for name, x in figures.items() for suffix, f in _MOMENTS.items()],
+        *[F.count_if(x > 0).alias(f"{name}_positive") for name, x in minus.items()],
+        families.alias("families"),
     )
 
 
+def audit_trials(records: list[dict], summary: list[dict], profile: Profile) -> dict:
+    """Holds a summary against the raw records by plain arithmetic that shares nothing with the summary's own.
+
+    Every planned trial must be there once and no other, and each count, mean and Monte Carlo error must come out again.
+    """
+    wanted = Counter((c, s, x) for k, (c, s) in enumerate(profile.cells) for x in profile.seeds(k))
+    if Counter((r["case"], r["split"], r["seed"]) for r in records) != wanted:
+        raise ValueError("the records are not the planned trials, each once")
+    if sorted((r["case"], r["split"]) for r in summary) != sorted(profile.cells):
+        raise ValueError("the summary's cells are not the planned ones")
+    checks = 0
+    for row in summary:
+        mine = [r for r in records if (r["case"], r["split"]) == (row["case"], row["split"])]
+        good = [r for r in mine if r["status"] == "success"]
+        expected: dict = {"planned": len(mine), "successes": len(good), "failures": len(mine) - len(good), "thin_support": sum(bool(r["thin_states"]) for r in good)}
+        expected["families"] = sorted(r["selected_family"] for r in good)
+        series = {c: [r["paired_r2"][c] for r in good] for c in COMPARATORS}
+        for c in COMPARATORS[1:]:
+            series[f"minus_{c}"] = [None if r["paired_r2"][c] is None else r["paired_r2"]["selected_macro"] - r["paired_r2"][c] for r in good]
+            expected[f"minus_{c}_positive"] = sum(x is not None and x > 0 for x in series[f"minus_{c}"])
+        series |= {"oracle_micro": [r["oracle_r2"] for r in good], "compression": [r["compression"] for r in good]}
+        for name, values in series.items():
+            x = [v for v in values if v is not None]
+            expected |= {name: statistics.fmean(x) if x else None, f"{name}_n": len(x), f"{name}_mc_se": statistics.stdev(x) / math.sqrt(len(x)) if len(x) > 1 else None}
+        for name, value in expected.items():
+            same = math.isclose(value, row[name], rel_tol=1e-10, abs_tol=1e-12) if isinstance(value, float) and row[name] is not None else value == row[name]
+            if not same:
+                raise ValueError(f"{row['case']}/{row['split']}: the summary says {name} = {row[name]}, the records {value}")
+        checks += len(expected)
+    return {"passed": True, "planned_trials": len(records), "failed_trials": sum(r["status"] != "success" for r in records), "checks": checks}
+
+
+def export_study(spark: SparkSession, path: str, folder: str, profile: Profile) -> dict:
+    """Reads recorded trials, audits their summary, and writes audit.json, results.csv and RESULTS.md; nothing if the audit fails."""
+    records = [json.loads(line) for line in Path(path).read_text(encoding="utf-8").splitlines()]
+    rows = [tuple(tuple((r.get(f.name) or {}).get(c) for c in COMPARATORS) if f.name == "paired_r2" else r.get(f.name) for f in TRIAL.fields) for r in records]
+    summary = [r.asDict() for r in summarize_trials(spark, spark.createDataFrame(rows, TRIAL), profile).orderBy("case", "split").collect()]
+    audit = audit_trials(records, summary, profile) | {"profile_sha256": profile.digest()}
+    for row in summary:
+        mine = [r["paired_r2"] for r in records if r["status"] == "success" and (r["case"], r["split"]) == (row["case"], row["split"])]
+        interval = mean_interval([p["selected_macro"] - p["restricted_micro"] for p in mine], seed=profile.seed_family)
+        for kind in ("t", "bootstrap"):
+            row[f"{kind}_low"], row[f"{kind}_high"] = interval[f"{kind}_interval"] or (None, None)
+        row["families"] = " ".join(f"{k}:{n}" for k, n in sorted(Counter(row["families"]).items()))
+    out = Path(folder)
+    out.mkdir(parents=True, exist_ok=True)
+    (out / "audit.json").write_text(strict_json(audit) + "\n", encoding="utf-8")
+    with (out / "results.csv").open("w", newline="", encoding="utf-8") as stream:
+        writer = csv.DictWriter(stream, list(summary[0]))
+        writer.writeheader()
+        writer.writerows(summary)
+    (out / "RESULTS.md").write_text(report_markdown(summary), encoding="utf-8")
+    return audit
+
+
 def report_markdown(summary: list[dict]) -> str:
     """The summary as a Markdown table."""
-    names = ["case", "split", "planned", "successes", "macro_r2", "micro_r2", "difference", "compression"]
+    names = ["case", "split", "planned", "successes", *COMPARATORS, "minus_restricted_micro", "minus_restricted_micro_mc_se", "oracle_micro", "compression"]
     text = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     return "\n".join(lines + ["| " + " | ".join(text(r[n]) for n in names) + " |" for r in summary]) + "\n"

@@ -192,13 +192,72 @@ def test_generators_and_intervals(spark, tmp_path):
     assert round(low, 4) == 0.8426 and round(high, 4) == 0.9945
     assert study.mean_interval([1.0, 2.0, 3.0])["t_interval"][0] == pytest.approx(2 - 4.30265273 / 3**0.5)
     profile = study.Profile(cells=(("iid_null", "entity_holdout"), ("additive_signal", "entity_holdout")), panels=2)
-    trials = [("iid_null", "entity_holdout", s, "success", 0.1, 0.2, 0.5, "q2") for s in profile.seeds(0)] + [("additive_signal", "entity_holdout", profile.seeds(1)[0], "failed", None, None, None, None)]
-    frame = spark.createDataFrame(trials, study.TRIAL)
-    got = {r["case"]: r for r in study.summarize_trials(spark, frame, profile).collect()}
-    assert got["additive_signal"]["planned"] == 2 and got["additive_signal"]["failures"] == 2 and got["iid_null"]["difference"] == pytest.approx(-0.1)
-    with pytest.raises(ValueError):
+    good = lambda s, r2: {"case": "iid_null", "split": "entity_holdout", "seed": s, "status": "success", "compression": 0.5, "selected_family": "q2", "oracle_r2": None, "thin_states": [], "paired_r2": r2}
+    r2 = dict(zip(study.COMPARATORS, (0.1, 0.2, -0.05, None, 0.25, 0.1), strict=True))
+    a, b = profile.seeds(0)
+    c, d = profile.seeds(1)
+    bad = [{"case": "additive_signal", "split": "entity_holdout", "seed": s, "status": "failed", "failure_reason": "x"} for s in (c, d)]
+    records = [good(a, r2), good(b, r2 | {"selected_macro": 0.3}), *bad]
+    (tmp_path / "trials.jsonl").write_text("".join(strict_json(r) + "\n" for r in records))
+    audit = study.export_study(spark, str(tmp_path / "trials.jsonl"), str(tmp_path / "out"), profile)
+    assert audit["passed"] and audit["planned_trials"] == 4 and audit["failed_trials"] == 2
+    table = pd.read_csv(tmp_path / "out" / "results.csv").set_index("case")
+    assert table.loc["additive_signal", "failures"] == 2 and np.isnan(table.loc["additive_signal", "selected_macro"])
+    null = table.loc["iid_null"]
+    assert null.minus_restricted_micro == pytest.approx(0.0) and null.minus_restricted_micro_positive == 1 and null.prespecified_macro_n == 0 and null.families == "q2:2"
+    assert null.selected_macro_mc_se == pytest.approx(0.1) and "iid_null" in (tmp_path / "out" / "RESULTS.md").read_text()
+    rows = [("iid_null", "entity_holdout", s, "success", 0.5, "q2", None, [], tuple(r2.values())) for s in (a, b)]
+    frame = spark.createDataFrame(rows, study.TRIAL)
+    summary = [r.asDict() for r in study.summarize_trials(spark, frame, profile).collect()]
+    with pytest.raises(ValueError, match="twice"):
         study.summarize_trials(spark, frame.unionByName(frame), profile)
-    assert "iid_null" in study.report_markdown([r.asDict() for r in got.values()])
+    with pytest.raises(ValueError, match="records"):
+        study.audit_trials(records, summary, profile)
+    with pytest.raises(ValueError, match="planned trials"):
+        study.audit_trials(records[1:], summary, profile)
+
+
+def test_rare_states_lie_in_the_holdout(spark):
+    from panelloom.operators.panel import build_lagged
+    from panelloom.operators.splits import plan_splits
+
+    p = generate("rare_absent_states", 12, 10, 3)
+    frame = build_lagged(p.frame(spark), p.spec).frame
+    plan = plan_splits(frame, "entity_id", "entity_holdout", 2, 0.25, 17, "permutation")
+    assert [r[0] for r in plan.frame.where("rare_entity_state = 1").select("outer_role").distinct().collect()] == ["test"]
+    assert frame.where("rare_tail_state = 1").count() == 1
+
+
+@pytest.mark.parametrize("case", ["known_confounding", "nonlinear_threshold"])
+def test_trial(spark, case):
+    config = DiscoveryConfig(max_states=2, paths=1, folds=2, holdout_fraction=0.25, seed=17)
+    r = study.run_trial(spark, case, "entity_holdout", 5, study.Profile(entities=24, periods=8, draws=20, config=config))
+    assert r["status"] == "success", r
+    r2 = r["paired_r2"]
+    assert set(r2) == set(study.COMPARATORS) and r2["matched_micro"] == pytest.approx(r2["selected_macro"], abs=1e-9) and r2["no_macro"] < 0.05
+    p = generate(case, 24, 8, 5)
+    frame = pd.DataFrame(p.columns | {"label": p.labels}).sort_values(["entity_id", "time"])
+    frame["next"] = frame.groupby("entity_id")["y"].shift(-1)
+    frame = frame.dropna()
+    held = set(np.random.default_rng(17).permutation(np.array(sorted(set(frame.entity_id)), dtype=object))[:6])
+    test = frame.entity_id.isin(held).to_numpy()
+
+    def plain(*columns):
+        x = np.column_stack([np.ones(len(frame)), *[frame[c] if isinstance(c, str) else c for c in columns]]).astype(float)
+        y = frame.next.to_numpy()
+        e = y[test] - x[test] @ np.linalg.lstsq(x[~test], y[~test], rcond=None)[0]
+        return 1 - (e**2).sum() / ((y[test] - y[test].mean()) ** 2).sum()
+
+    raw = ["treatment"] if case == "known_confounding" else []
+    assert r2["prespecified_macro"] == pytest.approx(plain(*raw, "label")) and r2["no_macro"] == pytest.approx(plain())
+    if case == "known_confounding":
+        x = np.column_stack([np.ones((~test).sum()), frame.treatment[~test], frame.u[~test]])
+        both = np.linalg.lstsq(x, frame.next[~test], rcond=None)[0]
+        assert r["confounding"]["joint_raw_confounder"]["treatment"] == pytest.approx(both[1])
+        assert r["confounding"]["marginal"]["treatment"] == pytest.approx(np.linalg.lstsq(x[:, :2], frame.next[~test], rcond=None)[0][1])
+        assert r["cluster_bootstrap"]["low"] < r["cluster_bootstrap"]["high"] and set(r["confounding"]["coarse_macro_adjusted"]) == {"treatment"}
+    else:
+        assert r["oracle_r2"] == pytest.approx(plain("oracle_threshold"))
 
 
 def test_bootstrap(spark):

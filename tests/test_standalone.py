@@ -81,3 +81,22 @@ def test_polynomials(spark, table):
     row = out.orderBy("i").first()
     z = (table.x - table.x.mean()) / table.x.std(ddof=0)
     assert np.isclose(row.poly_x_x, z[0] ** 2)
+
+
+def test_labels_and_given_splits(spark):
+    import panelloom
+    from panelloom.operators.models import _require_roles
+
+    assert all(getattr(panelloom, n) is not None for n in panelloom.__all__)
+    spec = panelloom.StudySpec("e", "t")
+    frame = spark.createDataFrame([("a", 2, 1.0), ("a", 1, 2.0), ("b", 1, 3.0)], "e string, t int, v double")
+    labels = spark.createDataFrame([("b", 1, "q"), ("a", 1, "p"), ("a", 2, "r"), ("c", 9, "s")], "e string, t int, l string")
+    assert {(r.e, r.t): r.l for r in panelloom.join_labels(frame, labels, spec, "l").collect()} == {("a", 1): "p", ("a", 2): "r", ("b", 1): "q"}
+    for wrong in (labels.where("e = 'a'"), labels.unionByName(labels)):
+        with pytest.raises(ValueError, match="label"):
+            panelloom.join_labels(frame, wrong, spec, "l")
+    roles = spark.createDataFrame([("train", "train", "train"), ("test", "test", "train"), (None, "valid", None)], "a string, b string, c string")
+    _require_roles(roles, ["a"])
+    for names in (["a", "b"], ["c"], ["a", "a"], ["none"]):
+        with pytest.raises(ValueError, match="split"):
+            _require_roles(roles, names)
