@@ -23,7 +23,7 @@ from panelloom.operators.scoring import COMPUTED, DECLARED, MacroScore, PairedSc
 from panelloom.operators.splits import OUTER, SplitPlan, fold_column, plan_splits
 from panelloom.plans.spec import StudySpec
 from panelloom.runtime import scratch_for
-from panelloom.sources.panels import event_panel, order_panel, supplier_month_panel, turn_panel, user_day_panel
+from panelloom.sources.panels import event_panel, exact_mean, order_panel, supplier_month_panel, turn_panel, user_day_panel
 
 EVENTS = StudySpec.from_dict({"id_column": "user_id", "time_column": "ts", "outcomes": ["value"], "columns": {"value": {"role": "outcome", "type": "numeric", "allowed_as_cause": False, "allowed_as_adjustment": False}, "k": {"type": "numeric"}}, "exclude": ["event_id"]})
 DAYS = StudySpec.from_dict({"id_column": "user_id", "time_column": "day", "outcomes": ["y"], "columns": {"y": {"role": "outcome", "type": "numeric", "allowed_as_cause": False, "allowed_as_adjustment": False}}})
@@ -168,10 +168,10 @@ def state_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frozen centers applied as an expression."""
+    """Frozen centers applied as an expression; means are exact, since months lie at equal distances from two centers."""
     centers = ((-1.0, 0.5), (0.0, -0.75), (1.25, 0.25))
     e = Encoder(Recipe(0, KMEANS, ("quantity", "tax"), 3), (600.0, 0.04), (600.0, 0.04), (200.0, 0.01), centers=centers)
-    frame = _suppliers(spark, sf_dir)
+    frame = build_lagged(supplier_month_panel(spark, sf_dir, exact_mean), SUPPLIERS).frame
     return frame.groupBy(_state(frame, e).cast("long").alias("state")).agg(F.count("*").alias("n"))
 
 

@@ -1,12 +1,18 @@
 """Specs, cells, leads and split plans."""
 
+import functools
+import itertools
+import operator
+
 import numpy as np
 import pytest
 
 from panelloom.operators.panel import build_lagged, validate_panel
 from panelloom.operators.splits import OUTER, fold_column, plan_splits
 from panelloom.plans.discovery import infer_kinds
+from panelloom.plans.queries import kmeans_assign
 from panelloom.plans.spec import AdjustmentSpec, ColumnSpec, StudySpec, kind_of_type, load_spec
+from panelloom.sources.panels import exact_mean
 from panelloom.sources.tables import JsonLines, read_panel_csv, strict_json
 
 SPEC = StudySpec.from_dict({"id_column": "well", "time_column": "day", "outcomes": ["level"], "interventions": ["pump"]})
@@ -193,3 +199,22 @@ def test_what_a_spec_reads_and_writes():
     assert AdjustmentSpec.parse({"rationale": " because "}) == AdjustmentSpec((), "because")
     with pytest.raises(ValueError, match="u is an outcome.*v is not allowed"):
         StudySpec.from_dict({"id_column": "i", "time_column": "t", "outcomes": ["u"], "columns": {"v": {"allowed_as_adjustment": False}}, "adjustment": {"columns": ["u", "v"], "rationale": "x"}})
+
+
+def test_equal_months_have_one_state_in_any_order_of_rows(spark, tmp_path):
+    # quantity 250 and mean tax 0.02875 lie as far from the first center as from the second: the first one holds
+    taxes = [0.04, 0.01, 0.07, 0.07, 0.02, 0.0, 0.02, 0.0]
+    orders = list(itertools.islice(itertools.permutations(taxes), 0, None, 97))
+    assert len({functools.reduce(operator.add, o) for o in orders}) > 1
+    rows = [(k, m, 31.25, 1.0, 0.0, t) for k, o in enumerate(orders) for m in ("2000-01-05", "2000-02-05") for t in o]
+    frame = spark.createDataFrame(rows, "l_suppkey long, d string, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    frame.selectExpr("*", "to_timestamp(d) as l_shipdate").drop("d").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [tuple(r) for r in kmeans_assign(spark, str(tmp_path)).collect()] == [(0, len(orders))]
+
+
+def test_exact_mean(spark):
+    groups = {"tenths": [0.1] * 10, "some": [0.1, None, 0.2], "none": [None], "nan": [1.0, float("nan")], "inf": [float("inf"), 1.0], "tiny": [1e-300, 3e-300], "huge": [1e300, 1.0], "sum": [9e8] * 20, "none_left": [-0.25, 0.25]}
+    frame = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
+    got = {r.g: r.m for r in frame.groupBy("g").agg(exact_mean("v").alias("m")).collect()}
+    assert got["tenths"] == 0.1 and got["some"] == 0.15 and got["none"] is None and np.isnan(got["nan"])
+    assert got["inf"] == float("inf") and got["tiny"] == 2e-300 and got["huge"] == 5e299 and got["sum"] == 9e8 and got["none_left"] == 0.0
