@@ -325,8 +325,8 @@ def _candidates(tiles: DataFrame, keys: list[str], num: int, den: int, every: bo
     return tc.mapped(dealt, scan, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scratch, n: int, lower: bool, num: int, den: int) -> DataFrame:
-    """The pairs whose sets reach the similarity: long signatures bound it first, sorted arrays decide."""
+def _verified(pairs: DataFrame, docs: DataFrame, long_: DataFrame, scratch: Scratch, n: int, lower: bool, num: int, den: int) -> DataFrame:
+    """The pairs whose sets reach the similarity: long signatures (node, n, long_sig) bound it first, sorted arrays decide."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,7 +334,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scra
             ok = pa.array([_plausible(*x, num, den) for x in zip(*columns, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    long_ = sizes.select("node", "n", "long_sig").distinct()
     one, two = long_.toDF("a", "na", "sa"), long_.toDF("b", "nb", "sb")
     every = pairs
     pairs = scratch.save(lambda: tc.mapped(every.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb"), prune, "a long, b long"), "plausible")
@@ -389,7 +388,9 @@ def near_duplicates(
     classes = full.groupBy("n", "h1", "h2").agg(F.min("node").alias("rep"))
     order = _frequencies(profile)
     tiles = scratch.save(lambda: _tiles(docs, n, lower, num, den, order), "tiles")
-    signatures = sizes.select("node", "sig").distinct()
+    signatures, long_ = sizes.select("node", "sig"), sizes.select("node", "n", "long_sig")
+    if repeated:  # else nodes are ids, each of one row
+        signatures, long_ = signatures.distinct(), long_.distinct()
     banded = _banded(tiles, num, den)
     # blocks of the few tiles that are too large for one task
     large = scratch.save(lambda: banded.groupBy("token", "band").agg(F.count("*").alias("m")).where(F.col("m") > TILE), "large")
@@ -405,7 +406,7 @@ def near_duplicates(
     dealt = dealt.withColumn("comp", F.col("node"))
     first = scratch.save(lambda: _candidates(_signed(dealt, signatures, True), ["token", "band", "block"], num, den, every=False), "forest")
     tested = first
-    edges = scratch.save(lambda: _verified(first, docs, sizes, scratch, n, lower, num, den), "linked")
+    edges = scratch.save(lambda: _verified(first, docs, long_, scratch, n, lower, num, den), "linked")
     if repeated:
         # by the nodes that stand for their classes, as all other edges; empty sets are no class
         stands = full.join(classes, ["n", "h1", "h2"]).select("node", "rep").distinct()
@@ -420,7 +421,7 @@ def near_duplicates(
         again = scratch.save(
             lambda: _candidates(_signed(reps, signatures, True), ["token", "band", "block"], num, den, every=False).join(tested, ["a", "b"], "left_anti"), "forest2"
         )
-        more = scratch.save(lambda: _verified(again, docs, sizes, scratch, n, lower, num, den), "linked2")
+        more = scratch.save(lambda: _verified(again, docs, long_, scratch, n, lower, num, den), "linked2")
         edges, tested = edges.unionByName(more), tested.unionByName(again)
     comp = scratch.save(lambda: components(edges, scratch), "comp")
     # the tiles that still hold several components
@@ -437,9 +438,10 @@ def near_duplicates(
     final = scratch.save(
         lambda: _candidates(_signed(rest, signatures, False), ["token", "band", "pi", "pj"], num, den, every=True).join(tested, ["a", "b"], "left_anti"), "rest"
     )
-    more = scratch.save(lambda: _verified(final, docs, sizes, scratch, n, lower, num, den), "linked3")
+    more = scratch.save(lambda: _verified(final, docs, long_, scratch, n, lower, num, den), "linked3")
     if more.limit(1).count():
-        comp = scratch.save(lambda: components(edges.unionByName(more), scratch), "comp")
+        stars = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comp = scratch.save(lambda: components(stars.unionByName(more), scratch), "comp")
     label = comp.select(F.col("node").alias("rep"), "component")
     placed = full.join(classes, ["n", "h1", "h2"]).join(label, "rep", "left").select("node", "doc", "n", F.coalesce("component", "rep").alias("component"))
     if repeated:  # rows of one id are one document, and labels are hashes

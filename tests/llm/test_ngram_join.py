@@ -68,6 +68,38 @@ def test_long_chain(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_any_graph(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range((20, 45, 200)[seed])]
+    edges += edges[:9] + [(b, a) for a, b in edges[:9]] + [(7, 7)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()
+    assert sorted(map(tuple, got)) == sorted(label.items())
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+
+
+def test_components_write_once_a_round(spark):
+    """A star around its greatest node takes one round of two shuffles and one table."""
+    scratch = Scratch(spark, "t")
+    got = dict(components(spark.createDataFrame([(50, i) for i in range(50)], "a long, b long"), scratch).collect())
+    assert got == dict.fromkeys(range(51), 0) and scratch.count <= 2
+
+
+def test_unique_ids_need_no_distinct_profile(spark, monkeypatch):
+    """Signatures of documents with ids of their own are joined as they lie."""
+    plans = []
+    signed = nj._signed
+    monkeypatch.setattr(nj, "_signed", lambda tiles, signatures, folded: plans.append(signatures._jdf.queryExecution().optimizedPlan().toString()) or signed(tiles, signatures, folded))
+    rows = texts(1, 5, 2)[:-2]
+    nj.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA))
+    assert plans and not any("Aggregate" in p for p in plans)
+
+
 def test_rows_of_one_id_with_different_texts(spark):
     """An id of two texts links the documents of either, whichever of equal texts' nodes hashes lowest."""
     rows = [(900, " "), (901, ""), (901, "x y z u v w"), (902, None), (902, "some words of its own")]
